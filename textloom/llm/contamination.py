@@ -112,10 +112,11 @@ def find_leaks(
     corpus = documents.select(F.col(doc).cast("long").alias("doc"), words(F.col(text)).alias("w")).where(F.size("w") >= window)
     for k in range(n_blocks):
         block = listed.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k) if n_blocks > 1 else listed
-        index = spark.sparkContext.broadcast(ItemIndex([(r.item, list(r.w)) for r in block.collect()], window, radius))
+        index = spark.sparkContext.broadcast(vars(ItemIndex([(r.item, list(r.w)) for r in block.collect()], window, radius)))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            known = index.value
+            known = ItemIndex.__new__(ItemIndex)
+            vars(known).update(index.value)
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):
                     yield from _scan(batch.slice(at, 500), known, shingle, similarity)

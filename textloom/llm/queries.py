@@ -9,6 +9,7 @@ from textloom.functions.json_text import json_field, json_object, json_strings
 from textloom.functions.text import has_words, term
 from textloom.llm import contamination, cooccurrence, packing, splitting, term_frequency
 from textloom.llm.formatting_duplicates import collapse, copies_of, fingerprint_records
+from textloom.llm.subjects import subject_areas
 from textloom.llm.survivors import Field, survivors, with_currency
 from textloom.sources.tables import table
 
@@ -150,6 +151,27 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+MOST_SUBJECTS = 1000
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    subjects = [r.subject for r in table(spark, folder, "subjects").select("subject").distinct().orderBy("subject").limit(MOST_SUBJECTS + 1).collect()]
+    if len(subjects) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
+    areas = subject_areas(
+        table(spark, folder, "documents"), "doc_id", "text", "lang", table(spark, folder, "subject_labels"), table(spark, folder, "eval_items"), "text", subjects
+    )
+    return areas.withColumnRenamed("doc", "doc_id")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of the corpus is about each subject; a document of several counts for each of them."""
+    areas = p8_found(spark, folder)
+    documents = table(spark, folder, "documents").where(F.col("text").rlike(r"\S")).agg(F.count_distinct("doc_id").alias("documents"))
+    counts = areas.groupBy("subject").agg(F.count(F.lit(1)).alias("about"))
+    return counts.join(F.broadcast(documents)).select("subject", "about", (F.col("about") / F.col("documents")).alias("share"))
+
+
 def queries() -> dict:
-    found = [p1_found, p1_records, p2_found, p2_survivors, p3_found, p3_pieces, p4_found, p4_terms, p5_found, p5_pairs, p6_containers, p7_found, p7_leaks]
+    found = [p1_found, p1_records, p2_found, p2_survivors, p3_found, p3_pieces, p4_found, p4_terms, p5_found, p5_pairs, p6_containers, p7_found, p7_leaks, p8_found, p8_shares]
     return {f.__name__: f for f in found}
