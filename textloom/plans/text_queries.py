@@ -1,11 +1,16 @@
-"""Queries on windowing, projection and filtering."""
+"""Queries on windowing, projection, context and filtering, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.windowing import explode_windows
+from textloom.functions import rules as R
+from textloom.functions.vectors import scale_fraction
+from textloom.functions.windowing import explode_windows, sentences
+from textloom.operators import context as C
+from textloom.operators import decisions as D
+from textloom.operators import providers as P
 from textloom.sources.tables import table
 
 
@@ -14,9 +19,212 @@ def window_counts(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), F.max(F.length("window_text")).alias("longest"))
 
 
+def sentence_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return explode_windows(table(spark, folder, "relationships_sample"), "id", "text")
+
+
+def decision_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return explode_windows(table(spark, folder, "relationships_sample"), "id", "text", 6, 4)
+
+
+def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").where("text is not null")
+    return rows.select("doc_id", F.size(sentences(F.col("text"))).alias("sentences"))
+
+
+def prior_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "rel_windows").where("text_id is not null").select("text_id", "window_id", F.coalesce("summary", F.lit("")).alias("summary"))
+    found = C.prior_summaries(rows, "text_id", "window_id", "summary", 5)
+    return found.select("window_id", F.array_join("prior", "|").alias("prior"))
+
+
+def context_points(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "rel_windows").where("text_id is not null and window_text is not null")
+    points = D.fallback_summary(rows).select("text_id", "window_id", "bullet_points")
+    return C.context_points(points, "text_id", "window_id", "bullet_points").select("window_id", F.array_join("context_points", "|").alias("points"))
+
+
+def carried_entities(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "rel_windows").where("text_id is not null").select("text_id", "window_id", F.from_json("entities_json", "array<string>").alias("entities"))
+    return C.carry_entities(rows, "text_id", "window_id", "entities").select("window_id", F.size("carried").alias("carried"))
+
+
+def entity_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "rel_windows").where("text_id is not null and window_text is not null").groupBy("text_id", "window_index").agg(
+        F.min_by(F.struct("window_text", "entities_json"), "window_id").alias("x")
+    )
+    windows = rows.select("text_id", "window_index", "x.window_text", F.from_json("x.entities_json", "array<string>").alias("entities"))
+    return C.entity_contexts(windows, "window", 200)
+
+
+def context_truncated(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "rel_windows")
+    return rows.select("window_id", R.truncate(F.col("window_text"), 100).alias("context"))
+
+
+def sentence_with_entity(spark: SparkSession, folder: str) -> DataFrame:
+    each = table(spark, folder, "fig_instances").where("window_text is not null and instance_text is not null")
+    return each.select("instance_id", C.sentence_with(F.col("window_text"), F.lit("felt")).alias("sentence"))
+
+
+def typed_instances(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "fig_instances").select("instance_id", R.type_name(F.col("type")).alias("type"), "confidence")
+    kept = rows.where(F.col("type").isin(R.listed(R.FIGURATIVE_TYPES)) & F.col("confidence").isNotNull() & ~F.isnan("confidence"))
+    return kept.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(R.clamp_confidence(F.col("confidence"))), 6).alias("confidence"))
+
+
+def score_fractions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "lineitem")
+    return rows.groupBy("l_suppkey").agg(F.round(F.avg(scale_fraction(F.col("l_quantity"), 10, 40)), 6).alias("fraction"))
+
+
+def match_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "fig_instances").select(R.match_key(F.col("instance_text")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reply_objects(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "events")
+    reply = F.concat(F.lit("<think>about it</think>\nHere it is:\n```json\n"), F.col("props"), F.lit("\n```"))
+    return rows.select("event_id", F.get_json_object(R.object_text(reply), "$.k").cast("int").alias("k"))
+
+
+def valid_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of replies, one of them a whole number written as a fraction; values beyond the scale drop the run."""
+    rows = table(spark, folder, "events").select("event_id", F.concat(F.lit('{"depth": '), F.get_json_object("props", "$.k"), F.lit(".0, \"reach\": 7}")).alias("reply"))
+    return P.parse_scores(rows, ["depth", "reach"], 0, 80).groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
+
+
+def _sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Decision-like sentences made of orders: the prose tables hold none."""
+    o = table(spark, folder, "orders")
+    verb = F.element_at(F.array(*[F.lit(v) for v in ("We decided to ship", "They might ship", "Launch", "The depot holds", "Staff agreed to return")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    cause = F.element_at(F.array(*[F.lit(v) for v in ("", " because stock ran out", " due to rain since May", " given the price")]), (F.col("o_custkey") % 4 + 1).cast("int"))
+    return o.select(F.col("o_custkey").cast("string").alias("text_id"), F.col("o_orderkey").alias("seq"), F.concat(verb, F.lit(" order class "), F.col("o_orderpriority"), cause).alias("decision"))
+
+
+_SENTENCES = """
+sentences as (
+    select cast(o_custkey as varchar) as text_id, o_orderkey as seq,
+        ['We decided to ship', 'They might ship', 'Launch', 'The depot holds', 'Staff agreed to return'][(o_orderkey % 5 + 1)::int] || ' order class ' || o_orderpriority ||
+        ['', ' because stock ran out', ' due to rain since May', ' given the price'][(o_custkey % 4 + 1)::int] as decision
+    from orders
+)"""
+
+
+def valid_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    return D.frequencies(D.clean_decisions(_sentences(spark, folder)), "decision")
+
+
+def first_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    return D.exact_unique(_sentences(spark, folder), ["text_id"], "decision", "seq").select("text_id", "seq", "decision")
+
+
+def _factors(spark: SparkSession, folder: str) -> DataFrame:
+    polarity = F.element_at(F.array(F.lit("supporting"), F.lit("Opposing "), F.lit("odd")), (F.col("seq") % 3 + 1).cast("int"))
+    rows = _sentences(spark, folder).withColumns({"factor": F.regexp_extract("decision", r"(because|due to|given) (.+)$", 2), "polarity": polarity})
+    return D.clean_factors(rows.withColumn("decision", R.strip_causes(F.col("decision"))))
+
+
+def factor_polarity(spark: SparkSession, folder: str) -> DataFrame:
+    return D.polarity_table(_factors(spark, folder), "factor")
+
+
+def decision_totals(spark: SparkSession, folder: str) -> DataFrame:
+    s = _sentences(spark, folder)
+    return D.totals(s.select("text_id").distinct(), D.clean_decisions(s), _factors(spark, folder))
+
+
+def decision_factor_rows(spark: SparkSession, folder: str) -> DataFrame:
+    f = _factors(spark, folder).select("text_id", "decision", "polarity")
+    d = _sentences(spark, folder).select("text_id", R.strip_causes(F.col("decision")).alias("decision")).distinct()
+    return D.decision_rows(d, f)
+
+
+def fallback_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "rel_windows").where("window_text is not null")
+    return D.fallback_summary(rows).select("window_id", F.size("bullet_points").alias("bullets"), F.length("summary").alias("summary_length"))
+
+
+def rule_annotations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "rel_windows").select("window_id", "window_text")
+    asked = P.annotate(rows, P.prompt("entities", F.col("window_text")), P.RuleProvider())
+    return P.parse(asked, "entities").select("window_id", F.size("parsed.entities").alias("entities"), "error", "parse_failed")
+
+
+def recorded_annotations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "eval_items").select("item_id", P.prompt("summary", F.col("text")).alias("p"), "answer")
+    recorded = rows.where("item_id % 2 = 0").select(P.prompt_hash(F.col("p")).alias("prompt_hash"), F.to_json(F.struct(F.col("answer").alias("summary"))).alias("reply")).dropDuplicates(["prompt_hash"])
+    found = P.parse(P.annotate_recorded(rows, F.col("p"), recorded), "summary")
+    return found.groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.count("parsed.summary").alias("summaries"))
+
+
+_SPACE = r"[\s\x{00a0}\x{2009}\x{3000}\x{0085}\v]"
+
+
+def _windows(source: str, key: str, size: int, stride: int) -> str:
+    return rf"""
+with s as (
+    select {key} as key, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){_SPACE}+', E'\\1\x01', 'g'), E'\x01'),
+        lambda x: regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda x: x <> '') as u
+    from {source} where text is not null and regexp_matches(text, '[^\s\x{{00a0}}\x{{2009}}\x{{3000}}\x{{0085}}\v]')
+), w as (
+    select key, case when len(u) <= {size} then [text] else list_transform(range(0, len(u) - {size} + 1, {stride}), lambda i: array_to_string(u[i + 1:i + {size}], ' ')) end as w,
+        len(u) as n, array_to_string(u[len(u) - {size} + 1:len(u)], ' ') as tail
+    from s
+), f as (
+    select key, case when n <= {size} or (n - {size}) % {stride} = 0 or w[-1] = tail then w else list_append(w, tail) end as w from w
+)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in [window_counts]}
+    found = [
+        window_counts, sentence_windows, decision_windows, sentence_counts, prior_summaries, context_points, carried_entities, entity_contexts, context_truncated,
+        sentence_with_entity, typed_instances, score_fractions, match_keys, reply_objects, valid_runs, valid_decisions, first_decisions, factor_polarity, decision_totals,
+        decision_factor_rows, fallback_summaries, rule_annotations, recorded_annotations,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    listing = "select key as id, (unnest(range(0, len(w))))::int as window_index, unnest(w) as window_text from f"
+    talk = "|".join(R.listed(R.NO_DECISION_WORDS))
+    decided = "|".join(R.listed(R.DECISION_WORDS) + R.DECISION_PHRASES)
+    first = ", ".join(f"'{x}'" for x in R.listed(R.IMPERATIVES))
+    stripped = "decision"
+    for opening in R.CAUSAL_OPENINGS:
+        stripped = rf"regexp_replace({stripped}, '(?i)\s+{opening}\s+.*$', '')"
+    cleaned = _SENTENCES + rf""", stripped as (select text_id, seq, trim({stripped}) as decision, decision as whole from sentences),
+cleaned as (select text_id, seq, decision from stripped where len(regexp_split_to_array(decision, '\s+')) >= 3 and not regexp_matches(lower(decision), '{talk}')
+    and (regexp_matches(lower(decision), '{decided}') or split_part(lower(decision), ' ', 1) in ({first})))"""
+    factors = """, factors as (
+    select text_id, seq, decision, factor, case trim(lower(polarity)) when 'supporting' then 'supporting' when 'opposing' then 'opposing' else 'neutral' end as polarity
+    from (select *, regexp_extract(whole, '(because|due to|given) (.+)$', 2) as factor, ['supporting', 'Opposing ', 'odd'][(seq % 3 + 1)::int] as polarity from stripped)
+    where len(string_split(factor, ' ')) >= 3 and len(list_intersect(list_distinct(string_split(lower(factor), ' ')), list_distinct(string_split(lower(decision), ' ')))) / len(list_distinct(string_split(lower(factor), ' '))) <= 0.85
+)"""
+    return {
+        "window_counts": _windows("documents", "doc_id", 3, 2) + "select key as doc_id, len(w) as windows, list_max(list_transform(w, lambda x: length(x)))::int as longest from f",
+        "sentence_windows": _windows("relationships_sample", "id", 3, 2) + listing,
+        "decision_windows": _windows("relationships_sample", "id", 6, 4) + listing,
+        "sentence_counts": rf"""select doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?]){_SPACE}+', E'\\1\x01', 'g'), E'\x01'),
+            lambda x: regexp_matches(x, '[^\s\x{{00a0}}\x{{2009}}\x{{3000}}\x{{0085}}\v]')))::int as sentences from documents where text is not null""",
+        "prior_summaries": """select window_id, coalesce(array_to_string(list(coalesce(summary, '')) over (partition by text_id order by window_id rows between 5 preceding and 1 preceding), '|'), '') as prior
+            from rel_windows where text_id is not null""",
+        "context_truncated": "select window_id, case when length(window_text) > 100 then window_text[1:100] || '...' else window_text end as context from rel_windows",
+        "typed_instances": f"""select type, count(*) as n, round(avg(least(greatest(confidence, 0), 1)), 6) as confidence
+            from (select translate(trim(lower(type)), ' -', '__') as type, confidence from fig_instances)
+            where type in ({', '.join(repr(t) for t in R.listed(R.FIGURATIVE_TYPES))}) and not isnan(confidence) group by 1""",
+        "score_fractions": "select l_suppkey, round(avg(least(greatest((l_quantity - 10) / 30, 0), 1)), 6) as fraction from lineitem group by 1",
+        "reply_objects": "select event_id, (props->>'$.k')::int as k from events",
+        "valid_runs": """select dimension, count(*) as n, sum(score)::bigint as total from (
+            select unnest([{'dimension': 'depth', 'score': (props->>'$.k')::int}, {'dimension': 'reach', 'score': 7}], recursive := true) from events where (props->>'$.k')::int between 0 and 80) group by 1""",
+        "valid_decisions": f"with {cleaned} select decision, count(*) as count, count(distinct text_id) as texts from cleaned group by 1",
+        "first_decisions": f"with {_SENTENCES} select text_id, seq, decision from sentences qualify row_number() over (partition by text_id, lower(trim(decision)) order by seq) = 1",
+        "factor_polarity": f"""with {cleaned}{factors} select factor, count(*) filter (where polarity = 'supporting') as supporting, count(*) filter (where polarity = 'opposing') as opposing,
+            count(*) filter (where polarity = 'neutral') as neutral from factors group by 1""",
+        "decision_totals": f"""with {cleaned}{factors}, n as (select (select count(distinct text_id) from sentences) as texts, (select count(*) from cleaned) as decisions, (select count(*) from factors) as factors)
+            select *, round(decisions / greatest(texts, 1), 2) as decisions_per_text, round(factors / greatest(decisions, 1), 2) as factors_per_decision from n""",
+        "decision_factor_rows": f"""with {cleaned}{factors} select s.text_id, s.decision, count(f.seq) as factor_count, count(f.seq) filter (where polarity = 'supporting') as supporting_count,
+            count(f.seq) filter (where polarity = 'opposing') as opposing_count, count(f.seq) filter (where polarity = 'neutral') as neutral_count
+            from (select distinct text_id, decision from stripped) s left join factors f using (text_id, decision) group by 1, 2""",
+    }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["textloom.plans.text_queries"]
+MODULES = ["textloom.plans.text_queries", "textloom.plans.relationship_queries", "textloom.plans.score_queries"]
 
 
 def _gather(kind: str) -> dict:
