@@ -18,6 +18,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: st
     return rows.join(groups.repartition(*keys), list(keys), how)
 
 
+def join_checked(rows: DataFrame, groups: DataFrame, keys: Sequence[str], most: int, how: str = "inner") -> DataFrame:
+    """Join rows to a table with one row per key: by broadcast if that table, counted first, has at most `most` rows, else as
+    join_groups does. The groups should be materialised, as they are read twice."""
+    if groups.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(groups), list(keys), how)
+    return join_groups(rows, groups, keys, how)
+
+
 def rank_within(rows: DataFrame, key: str, order: Sequence[str], name: str, spread: int = 64) -> DataFrame:
     """Add a dense zero-based row number within each key, without bringing a key's rows into one task.
 
