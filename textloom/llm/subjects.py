@@ -1,11 +1,10 @@
 """Subject areas of documents, propagated from a few coded ones.
 
-Documents are similar as far as they share words and pairs of neighbouring words. The similarity graph is kept in factored
-form, document - expression - document, so its edges hold for all pairs without being listed. Subjects travel along it in
-rounds of joins: expressions collect the subjects of the documents they occur in; only those pass them on that are verified
-to be concentrated on a subject well beyond what the languages they occur in would give; documents whose coders agree are
-clamped to their codes; every document may hold several subjects. Then each sentence takes the subject of its most telling
-expression, frames whose subject keeps missing the rest of the document (similes, comparisons) are recognised and left
+Documents are similar as far as they share words. The similarity graph is kept in factored form, document - word -
+document, so its edges hold for all pairs without being listed. Subjects travel along it in rounds of joins: words collect
+the subjects of the documents they occur in; only those pass them on that are verified to be concentrated on a subject well
+beyond what the languages they occur in would give; documents whose coders agree are clamped to their codes; every document
+may hold several subjects. Then each sentence takes the subject of its most telling word, frames whose subject keeps missing the rest of the document (similes, comparisons) are recognised and left
 out, and a subject counts for a document that has it in a sufficient share of its sentences.
 """
 
@@ -18,9 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import term
-from textloom.operators.keyed import join_groups
+from textloom.operators.keyed import join_checked
 from textloom.plans.storage import materialise
 
+#: A word with this share in one subject is telling, however frequent that subject is.
+CERTAIN = 0.6
+#: A broadcast table of words has at most this many rows, of up to 100 bytes.
+MOST_WORDS = 200_000
 #: Marks of transcription that are not part of what was said.
 NOISE = r"(?iu)\[[^\]]*\]|\([^)]*\)|<[^>]*>|\b(?:um|uh|er|you know)\b,?"
 SPEAKER = r"^\s*(?:-\s+)?\p{L}{1,12}\d{0,3}\s*:\s+"
@@ -124,7 +127,7 @@ def _seeds(labels: DataFrame, subjects: list[str]) -> DataFrame:
 
 
 def _verified(documents: DataFrame, scores: DataFrame, n: int, prior: float, least: int, least_lift: float) -> DataFrame:
-    """(gram, lift, best, v0..): expressions at least `least_lift` times as frequent with their best subject as the
+    """(gram, lift, share, best, v0..): words at least `least_lift` times as frequent with their best subject as the
     languages of their documents would give, and the votes they pass on. documents: doc, lang, grams; scores: doc, y0.."""
     ks = range(n)
     shares = documents.select("doc", "lang").join(scores, "doc").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *[F.sum(f"y{k}").alias(f"t{k}") for k in ks])
@@ -139,23 +142,25 @@ def _verified(documents: DataFrame, scores: DataFrame, n: int, prior: float, lea
     lifts = [(F.col(f"y{k}") + F.lit(prior * everywhere[k])) / (F.col(f"b{k}") + F.lit(max(prior * everywhere[k], 1e-9))) for k in ks]
     chances = [F.col(f"y{k}") + F.lit(prior * everywhere[k]) for k in ks]
     lifted = total.select("gram", F.array(*lifts).alias("lifts"), F.array(*chances).alias("chances"))
-    lifted = lifted.withColumn("lift", F.array_max("lifts")).where(F.col("lift") >= least_lift)
     all_chances = F.aggregate("chances", F.lit(0.0), lambda a, x: a + x)
+    best = F.array_position("lifts", F.array_max("lifts")) - 1
+    lifted = lifted.withColumns({"lift": F.array_max("lifts"), "best": best.cast("int"), "share": F.get("chances", best.cast("int")) / all_chances})
+    lifted = lifted.where((F.col("lift") >= least_lift) | ((F.col("share") >= CERTAIN) & (F.col("lift") > 1)))
     votes = [(F.pow(F.col("chances")[k] / all_chances, 2) * F.log("lift")).alias(f"v{k}") for k in ks]
-    return lifted.select("gram", "lift", (F.array_position("lifts", F.col("lift")) - 1).cast("int").alias("best"), *votes)
+    return lifted.select("gram", "lift", "share", "best", *votes)
 
 
 def propagate(documents: DataFrame, seeds: DataFrame, n: int, rounds: int = 3, prior: float = 8.0, least: int = 3, least_lift: float = 2.0, least_share: float = 0.12) -> DataFrame:
-    """Verified expressions after `rounds` rounds. documents: doc, lang, grams. Each round is one aggregation by expression
-    and one by document; its scores are checkpointed, so a lost executor repeats one round at most."""
+    """Verified words after `rounds` rounds. documents: doc, lang, grams. Each round is one aggregation by word and
+    one by document; its scores are checkpointed, so a lost executor repeats one round at most."""
     ks = range(n)
     ys = [f"y{k}" for k in ks]
     scores = seeds.select("doc", *ys)
     known = seeds.select("doc", *[F.col(f"y{k}").alias(f"s{k}") for k in ks], "seed")
     for _ in range(rounds):
-        votes = _verified(documents, scores, n, prior, least, least_lift).drop("lift", "best")
+        votes = materialise(_verified(documents, scores, n, prior, least, least_lift).drop("lift", "share", "best"))
         each = documents.select("doc", F.explode("grams").alias("gram"))
-        cast = join_groups(each, votes, ["gram"]).groupBy("doc").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in ks])
+        cast = join_checked(each, votes, ["gram"], MOST_WORDS).groupBy("doc").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in ks])
         total = sum((F.col(f"v{k}") for k in ks), F.lit(0.0))
         strong = [F.when(F.col(f"v{k}") / total >= least_share, F.col(f"v{k}")).otherwise(0.0).alias(f"v{k}") for k in ks]
         kept = cast.where(total > 0).select("doc", *strong)
@@ -174,12 +179,13 @@ def subject_areas(
     together. Without labels all documents are `none`."""
     own = [s for s in subjects if s != none]
     cut = document_sentences(documents, doc, text, lang)
-    grams = F.array_distinct(F.flatten(F.transform("sentences", lambda w: _runs(w, (1, 2)))))
+    grams = F.array_distinct(F.flatten(F.transform("sentences", lambda w: _runs(w, (1,)))))
     docs = materialise(without_quotes(cut, passages, passage_text).withColumn("grams", grams))
-    telling = propagate(docs.select("doc", "lang", "grams"), _seeds(labels, own), len(own)).where(F.col("lift") >= telling_lift).select("gram", "lift", "best")
+    telling = propagate(docs.select("doc", "lang", "grams"), _seeds(labels, own), len(own)).where((F.col("lift") >= telling_lift) | (F.col("share") >= CERTAIN))
+    ranked = telling.select("gram", ((F.col("lift") * 1_000_000).cast("long") * len(own) + F.col("best")).alias("place"))
     each = docs.select("doc", F.posexplode("sentences").alias("at", "words"))
-    matched = join_groups(each.select("doc", "at", F.explode(_runs(F.col("words"), (1, 2))).alias("gram")), telling, ["gram"])
-    about = materialise(matched.groupBy("doc", "at").agg(F.max(F.struct("lift", "best"))["best"].alias("best")))
+    matched = join_checked(each.select("doc", "at", F.explode(_runs(F.col("words"), (1,))).alias("gram")), ranked, ["gram"], MOST_WORDS)
+    about = materialise(matched.groupBy("doc", "at").agg((F.max("place") % len(own)).cast("int").alias("best")))
     by_subject = about.groupBy("doc", "best").agg(F.count(F.lit(1)).alias("same"))
     by_doc = about.groupBy("doc").agg((F.count(F.lit(1)) - 1).alias("others"))
     agrees = (F.col("same") - 1 >= F.greatest(F.lit(1), F.col("others") * part)).cast("int")
@@ -187,7 +193,8 @@ def subject_areas(
     frames = judged.join(each, ["doc", "at"]).select("agrees", F.explode(_runs(F.col("words"), (2,))).alias("gram"))
     beside = frames.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.sum("agrees").alias("agreeing"))
     beside = materialise(beside.where((F.col("n") >= frame_sentences) & (F.col("agreeing") < frame_agreement * F.col("n"))).select("gram"))
-    figurative = each.select("doc", "at", F.explode(_runs(F.col("words"), (2,))).alias("gram")).join(beside, "gram", "left_semi").select("doc", "at").distinct()
+    figurative = each.select("doc", "at", F.explode(_runs(F.col("words"), (2,))).alias("gram"))
+    figurative = join_checked(figurative, beside, ["gram"], MOST_WORDS, "left_semi").select("doc", "at").distinct()
     literal = about.join(figurative, ["doc", "at"], "left_anti").groupBy("doc", "best").agg(F.count(F.lit(1)).alias("n"))
     sizes = docs.groupBy("doc").agg(F.sum(F.size("sentences")).alias("size"))
     enough = literal.join(sizes, "doc").where(F.col("n") >= F.col("size") * F.lit(part) - 1e-9)
