@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join rows to a table with one row per key.
 
-    The groups are shuffled by the keys once more, so that both sides of the join are plain shuffles: only then can
-    adaptive execution split a hot key's rows over many tasks, each with a copy of that key's single group row.
-    Null keys match nothing.
+    The keys are compared as one struct. Groups that come from an aggregation by the same keys would otherwise go into the
+    join without a shuffle of their own; but only where both sides are plain shuffles can adaptive execution split a hot
+    key's rows over many tasks, each with a copy of that key's single group row. Null keys match nothing.
     """
-    return rows.join(groups.repartition(*keys), list(keys), how)
+    key = F.struct(*[F.col(k) for k in keys]).alias("_join_key")
+    known = groups.where(" and ".join(f"`{k}` is not null" for k in keys))
+    rest = [c for c in groups.columns if c not in keys]
+    return rows.select("*", key).join(known.select(key, *rest), "_join_key", how).drop("_join_key")
 
 
 def join_checked(rows: DataFrame, groups: DataFrame, keys: Sequence[str], most: int, how: str = "inner") -> DataFrame:
