@@ -150,3 +150,15 @@ def test_carried_entities(spark):
 def test_balanced_json(spark):
     rows = spark.createDataFrame([('x {"a": "}"} y',), ("[1, [2]] z",), ("none",), (None,)], "r string")
     assert [r[0] for r in rows.select(P.balanced_json(rows.r)).collect()] == ['{"a": "}"}', "[1, [2]]", None, None]
+
+
+def test_token_windows(spark):
+    from textloom.functions import tokens
+
+    codec = tokens.words_codec()
+    assert tokens.token_windows("a b c d e f", codec, 3, 2) == ["a b c", "c d e", "d e f"]
+    assert tokens.token_windows("a  b", codec, 3, 2) == ["a  b"] and tokens.token_windows(" ", codec, 3, 2) == [] and tokens.token_windows(None, codec, 3, 2) == []
+    text = "Seven words make up this short text, more or less."
+    rows = spark.createDataFrame([("x", text), ("y", None)], "id string, text string")
+    got = tokens.explode_token_windows(rows, "id", "text", 5, 5).orderBy("window_index").collect()
+    assert got[0].window_text + got[1].window_text == text[: len(got[0].window_text + got[1].window_text)] and text.endswith(got[-1].window_text)

@@ -125,7 +125,7 @@ pairs as (select l_partkey % 5 as k, round(base, 4) as base, round(variant, 4) a
 
 
 def variant_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(S.variant_metrics(_pairs(spark, folder), ["k"], "base", "variant"), 5)
+    return _rounded(S.variant_metrics(_pairs(spark, folder), ["k"], "base", "variant"), 9)
 
 
 def wilcoxon(spark: SparkSession, folder: str) -> DataFrame:
@@ -363,8 +363,8 @@ def oracle_sql() -> dict[str, str]:
             select p_brand, p_size, p_retailprice from w where before is null or p_retailprice > before""",
         "spearman": f"with r as (select l_returnflag, {ranks.format(k='l_returnflag', v='l_quantity')} as x, {ranks.format(k='l_returnflag', v='l_extendedprice')} as y from lineitem) select l_returnflag, count(*) as n, round(corr(x, y), 5) as rho from r group by 1",
         "variant_metrics": f"""with {_PAIRS}, r as (select k, {ranks.format(k='k', v='base')} as x, {ranks.format(k='k', v='variant')} as y from pairs), ks as ({ks})
-            select k, count(*) as n, round(avg(variant - base), 5) as mean_delta, round(quantile_cont(variant - base, 0.5), 5) as median_delta, round(avg(abs(variant - base)), 5) as mae, round(sqrt(avg((variant - base) ** 2)), 5) as rmse,
-            round(corr(base, variant), 5) as pearson, any_value(round(rho, 5)) as spearman, any_value(round(ks.ks, 5)) as ks from pairs join (select k, corr(x, y) as rho from r group by 1) using (k) join ks using (k) group by 1""",
+            select k, count(*) as n, round(avg(variant - base), 9) as mean_delta, round(quantile_cont(variant - base, 0.5), 9) as median_delta, round(avg(abs(variant - base)), 9) as mae, round(sqrt(avg((variant - base) ** 2)), 9) as rmse,
+            round(corr(base, variant), 9) as pearson, any_value(round(rho, 9)) as spearman, any_value(round(ks.ks, 9)) as ks from pairs join (select k, corr(x, y) as rho from r group by 1) using (k) join ks using (k) group by 1""",
         "wilcoxon": f"""with {_PAIRS}, d as (select k, base - variant as d, abs(base - variant) as a from pairs where base <> variant), r as (select *, {ranks.format(k='k', v='a')} as r from d),
             ties as (select k, sum(c ** 3 - c) as ties from (select k, a, count(*) as c from d group by 1, 2) group by 1), s as (select k, count(*) as n, sum(case when d > 0 then r else 0 end) as up, sum(r) as total from r group by 1),
             w as (select k, n, least(up, total - up) as w, ties from s join ties using (k))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import rules as R
+from textloom.functions.tokens import explode_token_windows
 from textloom.functions.vectors import scale_fraction
 from textloom.functions.windowing import explode_windows, sentences
 from textloom.operators import context as C
@@ -27,6 +28,10 @@ def decision_windows(spark: SparkSession, folder: str) -> DataFrame:
     return explode_windows(table(spark, folder, "relationships_sample"), "id", "text", 6, 4)
 
 
+def token_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return explode_token_windows(table(spark, folder, "relationships_sample"), "id", "text").select("id", "window_index", F.length("window_text").alias("characters"))
+
+
 def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").where("text is not null")
     return rows.select("doc_id", F.size(sentences(F.col("text"))).alias("sentences"))
@@ -179,7 +184,7 @@ with s as (
 
 def queries() -> dict:
     found = [
-        window_counts, sentence_windows, decision_windows, sentence_counts, prior_summaries, context_points, carried_entities, entity_contexts, context_truncated,
+        window_counts, token_windows, sentence_windows, decision_windows, sentence_counts, prior_summaries, context_points, carried_entities, entity_contexts, context_truncated,
         sentence_with_entity, typed_instances, score_fractions, match_keys, reply_objects, valid_runs, valid_decisions, first_decisions, factor_polarity, decision_totals,
         decision_factor_rows, fallback_summaries, rule_annotations, recorded_annotations,
     ]
