@@ -252,6 +252,6 @@ def test_carried_stream(spark, tmp_path):
     rows = spark.createDataFrame([("t", 0, ["A"]), ("t", 1, ["b"]), ("t", 2, [])], "text_id string, window_index int, entities array<string>")
     rows.write.parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = stream.carried_entities(live).writeStream.format("memory").queryName("carried").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination(120)
+    q = stream.carried_entities(live, timeout_ms=None).writeStream.format("memory").queryName("carried").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    assert q.awaitTermination(120)
     assert {r.window_index: list(r.carried) for r in spark.table("carried").collect()} == {0: [], 1: ["A"], 2: ["A", "b"]}

@@ -27,9 +27,9 @@ def counts_in_time(rows: DataFrame, at: str, by: str, span: str = "10 minutes",
     return rows.withWatermark(at, late).groupBy(window, by).agg(F.count(F.lit(1)).alias("n")).select("window.start", "window.end", by, "n")
 
 
-def carried_entities(rows: DataFrame, n: int = 5, timeout_ms: int = 3_600_000) -> DataFrame:
+def carried_entities(rows: DataFrame, n: int = 5, timeout_ms: int | None = 3_600_000) -> DataFrame:
     """(text_id, window_index, carried): entities handed on from the last n windows of a text, its state kept between batches
-    and dropped after `timeout_ms` of silence. rows: text_id, window_index, entities."""
+    and dropped after `timeout_ms` of silence; with None it stays, and a stream of what is available now can end. rows: text_id, window_index, entities."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -50,11 +50,12 @@ def carried_entities(rows: DataFrame, n: int = 5, timeout_ms: int = 3_600_000) -
                     known.setdefault(e.strip().lower(), e.strip())
             held = [*held, list(known.values())][-n:]
         state.update((held,))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["text_id", "window_index", "carried"])
 
     return rows.groupBy("text_id").applyInPandasWithState(
-        run, "text_id string, window_index int, carried array<string>", "held array<array<string>>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, "text_id string, window_index int, carried array<string>", "held array<array<string>>", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout
     )
 
 
