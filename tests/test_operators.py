@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import rules as R
 from textloom.functions import vectors as V
 from textloom.operators import agreement, bayes, clustering, comparison, figurative, graphs, keyed, scores, similarity
+from textloom.plans import relationship_queries
 from textloom.streaming import windows as stream
 
 
@@ -110,6 +111,33 @@ def test_pagerank(spark):
     assert np.allclose([got[i] for i in range(n)], rank) and sum(got.values()) == pytest.approx(1)
 
 
+def test_pagerank_converges(spark):
+    """A long cycle with a chord forgets its start slowly; the tolerance isn't multiplied by the number of nodes."""
+    pairs = [(i, (i + 1) % 8) for i in range(8)] + [(8, 0), (0, 9)]
+    n, m = 10, np.zeros((10, 10))
+    for a, b in pairs:
+        m[b, a] = 1 / sum(x == a for x, _ in pairs)
+    m[:, 9] = 1 / n
+    want = np.linalg.solve(np.eye(n) - 0.85 * m, np.full(n, 0.15 / n))
+    edges, nodes = spark.createDataFrame([(a, b, 1) for a, b in pairs], "source int, target int, weight int"), spark.range(n)
+    got = {r.id: r["rank"] for r in graphs.pagerank(nodes, edges, rounds=200, tolerance=1e-3).collect()}
+    assert np.allclose([got[i] for i in range(n)], want, rtol=0, atol=6e-3)
+    with pytest.raises(RuntimeError):
+        graphs.pagerank(nodes, edges, rounds=2, tolerance=1e-3)
+
+
+def test_registered_pagerank_is_converged(spark, tmp_path):
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("e", "a"), ("a", "f")]
+    spark.createDataFrame([(i, "t", 0, a, b, "leads to", None, None) for i, (a, b) in enumerate(pairs)], "rel_id long, text_id string, window_index int, source string, target string, type string, description string, group_name string").write.parquet(f"{tmp_path}/relationships.parquet")
+    ids, m = "abcdef", np.zeros((6, 6))
+    for a, b in pairs:
+        m[ids.index(b), ids.index(a)] = 1 / sum(x == a for x, _ in pairs)
+    m[:, 5] = 1 / 6
+    want = np.linalg.solve(np.eye(6) - 0.85 * m, np.full(6, 0.15 / 6))
+    got = {r.id: r["rank"] for r in relationship_queries.graph_pagerank_converged(spark, str(tmp_path)).collect()}
+    assert np.allclose([got[i] for i in ids], want, rtol=0, atol=1e-5)
+
+
 def test_betweenness(spark):
     edges, nodes, rows = random_graph(spark, 12, 26)
     following = {i: [b for a, b in edges if a == i] for i in range(12)}
