@@ -172,6 +172,16 @@ def test_dense_pairs(spark):
     assert {(r.a, r.b) for r in similarity.dense_pairs(rows, 0.7, "id", "v", block=50).collect()} == want
 
 
+def test_nearest_of_every_query(spark):
+    x = np.random.default_rng(4).normal(size=(150, 5))
+    x[7], x[8] = x[50], 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round((y := x / np.where(length > 0, length, 1)) @ y.T, 12)
+    want = {(q, i) for q in (0, 50, 100) for i in sorted(range(150), key=lambda i: (-s[q, i], i))[:10]}
+    assert {(r.query, r.id) for r in similarity.nearest(rows.where("id % 50 = 0"), rows, "id", "v", block=2).collect()} == want
+
+
 def test_complete_link(spark):
     pairs = {("a", "b"): 0.95, ("b", "c"): 0.9, ("a", "c"): 0.5, ("c", "d"): 0.86}
     assert sorted(similarity.complete_link({k: v for k, v in pairs.items() if v >= 0.8}, list("abcd"), 0.8)) == [["a", "b"], ["c", "d"]]

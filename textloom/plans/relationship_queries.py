@@ -200,11 +200,17 @@ def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return S.top_k(first, e, "vec_id", "embedding", 10).withColumn("similarity", F.round("similarity", 5))
 
 
+def nearest_vectors_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 50; nearest_vectors asks for the first of them only."""
+    e = table(spark, folder, "embeddings")
+    return S.nearest(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 10).withColumn("similarity", F.round("similarity", 5))
+
+
 def queries() -> dict:
     found = [
         label_counts, merged_relationships, graph_nodes, graph_edges, graph_filtered, graph_degrees, graph_density, graph_pagerank, graph_pagerank_converged, graph_components, graph_betweenness, causal_majority,
         causal_statistics, verified_relationships, verification_statistics, verification_batches, mapped_labels, unfinished_windows, seed_lists, domain_nodes, domain_edges, aligned_instances,
-        canonical_instances, detection_summaries, similar_types, type_clusters, embedding_pairs, nearest_vectors,
+        canonical_instances, detection_summaries, similar_types, type_clusters, embedding_pairs, nearest_vectors, nearest_vectors_all,
     ]
     return {f.__name__: f for f in found}
 
@@ -305,4 +311,6 @@ ends as (select source as id, source as label, seq, 0 as n, text_id from r union
             where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.5""",
         "nearest_vectors": """select vec_id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 5) as similarity from embeddings
             qualify row_number() over (order by list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)) desc, vec_id) <= 10""",
+        "nearest_vectors_all": """with s as (select q.vec_id as query, e.vec_id, list_cosine_similarity(q.embedding::double[], e.embedding::double[]) as s from embeddings q, embeddings e where q.vec_id % 50 = 0)
+            select query, vec_id, round(s, 5) as similarity from s qualify row_number() over (partition by query order by round(s, 12) desc, vec_id) <= 10""",
     }
