@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import rules as R
 from textloom.functions import vectors as V
 from textloom.operators import agreement, bayes, clustering, comparison, figurative, graphs, keyed, scores, similarity
-from textloom.plans import relationship_queries
+from textloom.plans import relationship_queries, score_queries
 from textloom.streaming import windows as stream
 
 
@@ -182,6 +182,13 @@ def test_nearest_of_every_query(spark):
     assert {(r.query, r.id) for r in similarity.nearest(rows.where("id % 50 = 0"), rows, "id", "v", block=2).collect()} == want
 
 
+def test_wide_scores_have_every_run(spark, tmp_path):
+    lines = [(1, 1, 1, r, float(q), 0.0, 0.0) for r, q in enumerate([1, 2, 3, 20, 30, 40, 50], 1)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    row = score_queries.wide_scores_all_runs(spark, str(tmp_path)).first()
+    assert (row.quantity_run7, row.quantity_median) == (50, 20)
+
+
 def test_complete_link(spark):
     pairs = {("a", "b"): 0.95, ("b", "c"): 0.9, ("a", "c"): 0.5, ("c", "d"): 0.86}
     assert sorted(similarity.complete_link({k: v for k, v in pairs.items() if v >= 0.8}, list("abcd"), 0.8)) == [["a", "b"], ["c", "d"]]

@@ -19,6 +19,7 @@ from textloom.plans.storage import materialise
 from textloom.sources.tables import table
 
 DIMENSIONS = ["quantity", "discount", "tax"]
+RUNS = 7
 
 
 def _long(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,6 +73,13 @@ def wide_scores(spark: SparkSession, folder: str) -> DataFrame:
     return w.select("text_id", *[f"{d}_run{r}" for d in DIMENSIONS for r in (1, 2, 3)], *[f"{d}_median" for d in DIMENSIONS])
 
 
+def wide_scores_all_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """All seven runs of an order; wide_scores has its first three only."""
+    runs = _long(spark, folder).groupBy("text_id", "dimension", "run").agg(F.max("score").alias("score")).withColumn("justification", F.lit(""))
+    w = S.to_wide(runs, ["text_id"], DIMENSIONS, RUNS)
+    return w.select("text_id", *[f"{d}_run{r}" for d in DIMENSIONS for r in range(1, RUNS + 1)], *[f"{d}_median" for d in DIMENSIONS])
+
+
 def _fractions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_type", "user_id", F.least(F.col("value") / 50, F.lit(1.0)).alias("x"))
 
@@ -307,7 +315,7 @@ def posterior_rhat(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     found = [
-        run_statistics, run_means, justifications, dataset_statistics, primary_dimensions, wide_scores, descriptives, reliability, resolution, quintiles, average_ranks, empirical_cdf, pareto_frontier, spearman,
+        run_statistics, run_means, justifications, dataset_statistics, primary_dimensions, wide_scores, wide_scores_all_runs, descriptives, reliability, resolution, quintiles, average_ranks, empirical_cdf, pareto_frontier, spearman,
         variant_metrics, wilcoxon, friedman, holm, interaction, alpha_runs, alpha_participants, alpha_sample_variance, alpha_interval, mean_interval, participant_centroids, participant_distances, cosine_distances,
         aitchison_distances, log_ratios, ternary_points, distance_summary, group_distances, group_effect, group_centroids, permutation_test, sample_distances, common_parts, aligned_scores, ellipses,
         participant_clusters, participant_kmeans, principal_components, similarity_map, beta_observations, posterior_draws, posterior_hdi, posterior_contrasts, posterior_rhat,
@@ -350,6 +358,9 @@ def oracle_sql() -> dict[str, str]:
         "wide_scores": f"with {_LONG}, r as (select text_id, dimension, run, max(score) as score from long where run <= 3 group by 1, 2, 3) select text_id, "
             + ", ".join(f"max(score) filter (where dimension = '{d}' and run = {r}) as {d}_run{r}" for d in DIMENSIONS for r in (1, 2, 3)) + ", "
             + ", ".join(f"round(quantile_cont(score, 0.5) filter (where dimension = '{d}'), 2) as {d}_median" for d in DIMENSIONS) + " from r group by 1",
+        "wide_scores_all_runs": f"with {_LONG}, r as (select text_id, dimension, run, max(score) as score from long group by 1, 2, 3) select text_id, "
+            + ", ".join(f"max(score) filter (where dimension = '{d}' and run = {r}) as {d}_run{r}" for d in DIMENSIONS for r in range(1, RUNS + 1)) + ", "
+            + ", ".join(f"round(quantile_cont(score, 0.5) filter (where dimension = '{d}'), 2) as {d}_median" for d in DIMENSIONS) + " from r group by 1",
         "descriptives": f"""with {_FRACTIONS}, m as (select event_type, avg(x) as a, stddev_pop(x) as s from f group by 1) select f.event_type, count(*) as n, round(avg(x), 5) as mean, round(stddev_samp(x), 5) as sd, round(quantile_cont(x, 0.5), 5) as median,
             round(avg(((x - a) / s) ** 3), 5) as skew, round(avg(((x - a) / s) ** 4) - 3, 5) as kurtosis, round(100 * avg((x <= 0.05)::int), 5) as floor_pct, round(100 * avg((x >= 0.95)::int), 5) as ceiling_pct from f join m using (event_type) group by 1""",
         "reliability": f"""with {_LONG}, p as (select dimension, entity, avg(score) as m, coalesce(stddev_samp(score), 0) as s from long group by 1, 2)
