@@ -154,6 +154,13 @@ def test_betweenness(spark):
     assert all(got[i] == pytest.approx(score[i] / (11 * 10)) for i in range(12))
 
 
+def test_betweenness_of_relationships(spark, tmp_path):
+    pairs = [("A", "b"), ("B ", "c"), ("c", "d")]
+    spark.createDataFrame([(i, "t", 0, a, b, "leads to", None, None) for i, (a, b) in enumerate(pairs)], "rel_id long, text_id string, window_index int, source string, target string, type string, description string, group_name string").write.parquet(f"{tmp_path}/relationships.parquet")
+    got = {r.id: r.betweenness for r in relationship_queries.relationship_betweenness(spark, str(tmp_path)).collect()}
+    assert got == {"a": 0, "b": pytest.approx(2 / 6), "c": pytest.approx(2 / 6), "d": 0}
+
+
 def test_similar_pairs_are_all_found(spark):
     rng = random.Random(9)
     base = ["water supply", "school meals", "night bus", "town charter", "tree planting"]
