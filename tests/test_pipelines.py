@@ -162,3 +162,11 @@ def test_token_windows(spark):
     rows = spark.createDataFrame([("x", text), ("y", None)], "id string, text string")
     got = tokens.explode_token_windows(rows, "id", "text", 5, 5).orderBy("window_index").collect()
     assert got[0].window_text + got[1].window_text == text[: len(got[0].window_text + got[1].window_text)] and text.endswith(got[-1].window_text)
+
+
+def test_report_has_every_group(spark):
+    """45 groups: 45 means within and 990 between."""
+    names = [f"g{i:02}" for i in range(45)]
+    pairs = [("within", a, a) for a in names] + [("between", a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    lines = L.entity_report({"groups": spark.createDataFrame(pairs[::-1], "kind string, group_a string, group_b string")}).splitlines()
+    assert [x for x in lines if x.startswith(("| within", "| between"))] == [f"| {k} | {a} | {b} |" for k, a, b in sorted(pairs)]

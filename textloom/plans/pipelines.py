@@ -220,12 +220,12 @@ def entity_cluster(scores: DataFrame, dimensions: Sequence[str], method: str = "
 
 
 def entity_report(compared: dict[str, DataFrame]) -> str:
-    """Markdown of a comparison: summary and groups, both a few rows."""
+    """Markdown of a comparison: summary, effect and groups, all their rows in order."""
     lines = ["# Comparison", ""]
     for name in ("summary", "effect", "groups"):
         if name in compared:
-            rows = compared[name].limit(1000).collect()
             head = compared[name].columns
+            rows = compared[name].orderBy(*head).collect()
             lines += [f"## {name}", "| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
             lines += ["| " + " | ".join("" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x) for x in r) + " |" for r in rows] + [""]
     return "\n".join(lines)
