@@ -1,7 +1,10 @@
 """Operators without SQL against brute force, planted effects and invariants."""
 
+import inspect
 import math
+import os
 import random
+import sys
 from itertools import combinations, permutations
 
 import numpy as np
@@ -14,6 +17,9 @@ from textloom.operators import agreement, bayes, clustering, comparison, figurat
 from textloom.plans import relationship_queries, score_queries
 from textloom.streaming import windows as stream
 
+sys.path.insert(0, os.path.dirname(__file__))
+import oracle  # noqa: E402
+
 
 def value(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
@@ -307,3 +313,27 @@ def test_carried_stream(spark, tmp_path):
     q = stream.carried_entities(live, timeout_ms=None).writeStream.format("memory").queryName("carried").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     assert q.awaitTermination(120)
     assert {r.window_index: list(r.carried) for r in spark.table("carried").collect()} == {0: [], 1: ["A"], 2: ["A", "b"]}
+
+
+@pytest.mark.skipif(not os.path.isdir(oracle.FOLDER), reason="no test tables")
+def test_replicates_of_registered_queries(spark, monkeypatch):
+    """As many as the reference takes by default."""
+    class Stop(Exception):
+        pass
+
+    seen = {}
+    for module, name, call in ((bayes, "sample", "posterior_draws"), (agreement, "bootstrap_alpha", "alpha_interval"), (agreement, "bootstrap_mean", "mean_interval"), (comparison, "permutation_test", "permutation_test"), (comparison, "sample_distances", "sample_distances")):
+        signature = inspect.signature(getattr(module, name))
+
+        def stop(*args, signature=signature, name=name, **more):
+            bound = signature.bind(*args, **more)
+            bound.apply_defaults()
+            seen[name] = bound.arguments
+            raise Stop
+
+        with monkeypatch.context() as m, pytest.raises(Stop):
+            m.setattr(module, name, stop)
+            getattr(score_queries, call)(spark, oracle.FOLDER)
+    assert [seen["sample"][x] for x in ("chains", "draws", "tune")] == [4, 2000, 1000]
+    assert [seen[x]["n"] for x in ("bootstrap_alpha", "bootstrap_mean", "permutation_test")] == [1000, 10_000, 1000]
+    assert seen["sample_distances"]["n_directions"] == 100

@@ -169,11 +169,11 @@ def alpha_sample_variance(spark: SparkSession, folder: str) -> DataFrame:
 
 def alpha_interval(spark: SparkSession, folder: str) -> DataFrame:
     s = table(spark, folder, "events").select(F.lit("value").alias("dimension"), F.col("user_id").alias("entity"), F.col("event_type").alias("participant"), F.col("event_id").alias("run"), F.col("value").alias("score"))
-    return A.agreement(s, "participant", 200)
+    return A.agreement(s, "participant")
 
 
 def mean_interval(spark: SparkSession, folder: str) -> DataFrame:
-    return A.bootstrap_mean(table(spark, folder, "supplier"), ["s_nationkey"], "s_acctbal", 1000)
+    return A.bootstrap_mean(table(spark, folder, "supplier"), ["s_nationkey"], "s_acctbal")
 
 
 def _centroids(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,13 +237,13 @@ def group_centroids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def permutation_test(spark: SparkSession, folder: str) -> DataFrame:
-    return C.permutation_test(_centroids(spark, folder), _groups(spark, folder), n=200)
+    return C.permutation_test(_centroids(spark, folder), _groups(spark, folder))
 
 
 def sample_distances(spark: SparkSession, folder: str) -> DataFrame:
     """Nations by their suppliers' centroids, by the sliced Wasserstein distance."""
     rows = _centroids(spark, folder).join(_groups(spark, folder), "participant").groupBy(F.col("group").alias("participant")).agg(F.collect_list("v").alias("rows"))
-    return C.sample_distances(materialise(rows), 3, n_directions=20)
+    return C.sample_distances(materialise(rows), 3)
 
 
 def common_parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -282,11 +282,11 @@ def beta_observations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def posterior_draws(spark: SparkSession, folder: str) -> DataFrame:
-    """Sampled: 2 chains of 200 draws of brands' order quantities by nation of the supplier."""
+    """Sampled: 4 chains of 2,000 draws, after 1,000 of warm-up, of brands' order quantities by nation of the supplier."""
     l, p, s = (table(spark, folder, t) for t in ("lineitem", "part", "supplier"))
     rows = l.join(p, l.l_partkey == p.p_partkey).join(s, l.l_suppkey == s.s_suppkey)
     scores = rows.select(F.lit("quantity").alias("dimension"), F.col("p_brand").alias("entity"), (F.col("s_nationkey") % 3).cast("string").alias("group"), F.col("l_quantity").alias("score"))
-    return B.rhat(materialise(B.sample(B.prepare(scores, 0, 51), 2, 200, 200)))
+    return B.rhat(materialise(B.sample(B.prepare(scores, 0, 51), 4, 2000, 1000)))
 
 
 def _draws(spark: SparkSession, folder: str) -> DataFrame:
