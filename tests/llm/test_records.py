@@ -8,6 +8,8 @@ from datetime import datetime
 from itertools import combinations
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +17,7 @@ from textloom.functions.json_text import json_field, json_object, json_strings
 from textloom.functions.text import term, words
 from textloom.llm import cooccurrence, term_frequency
 from textloom.llm.formatting_duplicates import canonical_form, collapse, copies_of, fingerprint_records, merkle_digest
-from textloom.llm.survivors import Field, learn_currency, survivors, with_currency
+from textloom.llm.survivors import Field, latest_states, learn_precedences, partial_order, survivors
 
 
 def plain(s):
@@ -92,19 +94,93 @@ def test_survivors(spark):
     assert survivors(rows.limit(0), ["k"], "id", order, fields()).count() == 0
 
 
-def test_currency(spark):
+def staged():
+    return [Field("value", F.col("value"), F.col("value").isNotNull(), F.col("status")), Field("score", F.col("score"), F.col("score").between(0, 1))]
+
+
+def taught(groups=12):
     at = lambda d: datetime(2024, 1, d)
     rows = []
-    for g in range(6):
+    for g in range(groups):
         rows += [(10 * g, f"g{g}", "draft", 0.5, at(1), "v", 1), (10 * g + 1, f"g{g}", "final", 0.5, at(2), "v", 1), (10 * g + 2, f"g{g}", "archived", 0.5, at(3), "v", 1)]
-    rows += [(100, "new", "draft", 0.5, None, "old value", 1), (101, "new", "final", 0.5, None, "new value", 1)]
-    df = instances(spark, rows).withColumn("currency", F.lit("clash"))
-    learned = {r.state: r.currency for r in learn_currency(df, ["k"], "status", "at").collect()}
-    assert learned["draft"] < learned["final"] < learned["archived"]
-    told = with_currency(df, ["k"], "status", "at")
-    best = survivors(told, ["k"], "id", [F.when(F.col("at").isNull(), -F.col("currency")).otherwise(0.0)], fields()[:1])
-    assert best.where("k = 'new'").first().value == "new value"
-    assert learn_currency(df.limit(0), ["k"], "status", "at").count() == 0
+    return rows
+
+
+def test_currency(spark):
+    new = [(1000, "new", "draft", 0.9, None, "old value", 1), (1001, "new", "final", 0.1, None, "new value", 1), (1002, "new", "other", 0.2, None, None, 1)]
+    df = instances(spark, taught() + new).withColumn("currency", F.lit("clash"))
+    learned = learn_precedences(df, ["k"], staged(), "at")
+    assert set(learned.pairs["value"]) == {("draft", "final"), ("final", "archived"), ("draft", "archived")} and "score" not in learned.pairs
+    trust = [-F.col("score")]
+    current = survivors(df, ["k"], "id", trust, staged(), "at", learned, trust_first=False).where("k = 'new'").first()
+    assert (current.value, current.value_from, current.value_current, current.score, current.score_current) == ("new value", 1001, True, 0.9, False)
+    trusted = survivors(df, ["k"], "id", trust, staged(), "at", learned).where("k = 'new'").first()
+    assert (trusted.value, trusted.value_from, trusted.value_current) == ("old value", 1000, True)
+    tied = survivors(df, ["k"], "id", [F.lit(1)], staged(), "at", learned).where("k = 'new'").first()
+    assert tied.value == "new value"
+    plain_ = survivors(df, ["k"], "id", trust, staged()).where("k = 'new'").first()
+    assert (plain_.value, plain_.value_current) == ("old value", False)
+    none = learn_precedences(df.limit(0), ["k"], staged(), "at")
+    assert none.pairs == {"value": {}} and survivors(df.limit(0), ["k"], "id", trust, staged(), "at", none, False).count() == 0
+
+
+def test_currency_of_all_transitions(spark):
+    """Frequent states gain nothing by being frequent, and what goes both ways teaches nothing."""
+    rng = random.Random(2)
+    rows = [(100 * g + i, f"g{g}", rng.choice("aaaaaab"), 0.5, datetime(2024, 1, 1 + i), "v", 1) for g in range(300) for i in range(8)]
+    assert learn_precedences(instances(spark, rows), ["k"], staged(), "at").pairs["value"] == {}
+
+
+def test_contradictions():
+    assert partial_order([("a", "b", 9), ("b", "c", 8), ("c", "a", 3), ("x", "x", 5)]) == {("a", "b"): 9, ("b", "c"): 8, ("a", "c"): 8}
+    learned = {("a", "b"): 9, ("b", "c"): 8, ("a", "c"): 8}
+    assert latest_states(["a", "c"], [None, None], learned) == ["c"]
+    assert latest_states(["a", "c", "z"], [None, None, None], learned) == ["c", "z"]
+    assert latest_states(["a", "c"], [5, 3], learned) == ["a"]
+    assert latest_states(["b", "c", "a"], [7, None, 9], learned) == ["c"]
+    assert latest_states(["a", "b", "c"], [5, None, 3], {("a", "b"): 4, ("b", "c"): 6}) == ["a"]
+    assert latest_states([], [], learned) == [] and latest_states(["a", "b"], [4, 4], {}) == ["a", "b"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abcdef"), st.sampled_from("abcdef"), st.integers(1, 9)), max_size=20), st.dictionaries(st.sampled_from("abcdef"), st.none() | st.integers(0, 3), max_size=6))
+def test_orders_are_partial(net, group):
+    order = partial_order(net)
+    assert all(a != b and (b, a) not in order for a, b in order)
+    assert all((a, d) in order for a, b in order for c, d in order if b == c)
+    latest = latest_states(list(group), list(group.values()), order)
+    assert bool(latest) == bool(group)
+    if all(t is None for t in group.values()):
+        assert latest == [s for s in group if not any((s, x) in order for x in group)]
+    if group and all(t is not None for t in group.values()):
+        assert latest == [s for s in group if group[s] == max(group.values())]
+
+
+def test_currency_by_brute_force(spark):
+    rng = random.Random(8)
+    states = ["s0", "s1", "s2", "s3"]
+    rows = taught(20) + [
+        (5_000 + i, f"n{rng.randrange(120)}", rng.choice([*states, "draft", "final", None]), round(rng.random(), 1), rng.choice([None, datetime(2024, 2, rng.randrange(1, 20))]), rng.choice(["v", "w", None]), 1)
+        for i in range(700)
+    ]
+    df = instances(spark, rows)
+    learned = learn_precedences(df, ["k"], staged(), "at")
+    got = {r.k: (r.value, r.value_from, r.value_current) for r in survivors(df, ["k"], "id", [F.col("score")], staged(), "at", learned, False).collect()}
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(r[1], []).append(r)
+    for k, members in groups.items():
+        if len(members) < 2:
+            continue
+        usable = [r for r in members if r[5] is not None]
+        own = {s: max((r[4] for r in usable if r[2] == s and r[4]), default=None) for s in {r[2] for r in usable if r[2] is not None}}
+        part = len(own) > 1 and any(r[4] is None for r in usable if r[2] is not None)
+        if part:
+            latest = latest_states(sorted(own), [own[s] for s in sorted(own)], learned.pairs["value"])
+            usable = [r for r in usable if r[2] in latest]
+        best = min(usable, key=lambda r: (r[3], r[0]), default=None)
+        assert got[k] == ((best[5], best[0], part) if best else (None, None, False)), k
+    assert sum(c for _, _, c in got.values()) > 30
 
 
 @pytest.mark.parametrize("limit", [3, 1_000_000])

@@ -10,7 +10,7 @@ from textloom.functions.text import has_words, term
 from textloom.llm import contamination, cooccurrence, packing, splitting, term_frequency
 from textloom.llm.formatting_duplicates import collapse, copies_of, fingerprint_records
 from textloom.llm.subjects import subject_areas
-from textloom.llm.survivors import Field, survivors, with_currency
+from textloom.llm.survivors import Field, learn_precedences, survivors
 from textloom.sources.tables import table
 
 NAMES = ["source", "target", "type"]
@@ -58,29 +58,44 @@ def _usable_confidence():
     return F.coalesce(F.col("confidence").between(0, 1) & ~F.isnan("confidence"), F.lit(False))
 
 
+def _written(text):
+    """How a text is written: its case, and whether more than single blanks and words make it up."""
+    letters = F.regexp_replace(text, r"[^\p{L}]", "")
+    case = F.when(letters == F.lower(letters), "lower").when(letters == F.upper(letters), "upper").when(F.substring(letters, 2, 1 << 30) == F.lower(F.substring(letters, 2, 1 << 30)), "first").otherwise("mixed")
+    edges = F.when(text.rlike(r"^[\p{L}\p{Nd}].*[\p{L}\p{Nd}]$"), "bare").otherwise("marked")
+    inside = F.when(text.rlike(r"^\P{L}*[\p{L}\p{Nd}]+( [\p{L}\p{Nd}]+)*\P{L}*$"), "plain").otherwise("spaced")
+    return F.concat_ws(" ", case, edges, inside)
+
+
 def _fields() -> list[Field]:
     return [
-        Field("instance_text", F.col("instance_text"), F.col("instance_text").isNotNull()),
-        Field("confidence", F.col("confidence"), _usable_confidence()),
-        Field("support_count", F.col("support_count"), F.col("support_count") >= 1),
-        Field("alignment_status", F.col("alignment_status"), F.col("status").isin(STATUS)),
+        Field("instance_text", F.col("instance_text"), F.col("instance_text").isNotNull(), _written(F.col("instance_text"))),
+        Field("confidence", F.col("confidence"), _usable_confidence(), F.floor(F.col("confidence") * 10)),
+        Field("support_count", F.col("support_count"), F.col("support_count") >= 1, F.least("support_count", F.lit(10))),
+        Field("alignment_status", F.col("alignment_status"), F.col("status").isin(STATUS), F.col("status")),
     ]
 
 
 GROUP = ["text_id", "type_term", "text_term"]
 
 
+def _survivors(spark: SparkSession, folder: str, trust_first: bool) -> DataFrame:
+    rows = _instances(spark, folder)
+    learned = learn_precedences(rows, GROUP, _fields(), "detected_at")
+    order = [*_trust(), F.col("instance_id")] if trust_first else _trust()
+    return survivors(rows, GROUP, "instance_id", order, _fields(), "detected_at", learned, trust_first)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    best = survivors(_instances(spark, folder), GROUP, "instance_id", _trust(), _fields())
+    """The stated order comes first and ends in the id, so currency is left nothing to decide."""
+    best = _survivors(spark, folder, True)
     each = F.explode(F.array(*[F.struct(F.lit(f.name).alias("field_name"), F.col(f"{f.name}_from").alias("instance_id")) for f in _fields()]))
     return best.select("group_id", each.alias("x")).select("group_id", "x.field_name", "x.instance_id").where("instance_id is not null")
 
 
 def p2_survivors(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole survivors; among rows without a time, what replaces what in other groups decides ahead of the id."""
-    rows = with_currency(_instances(spark, folder), GROUP, "status", "detected_at")
-    later = F.when(F.col("detected_at").isNull(), -F.col("currency")).otherwise(F.lit(0.0))
-    best = survivors(rows, GROUP, "instance_id", [*_trust(), later], _fields())
+    """Whole survivors: where times are missing, each field has one of its topologically latest states."""
+    best = _survivors(spark, folder, False)
     return best.drop("type_term", "text_term").withColumn("alignment_status", F.lower(F.trim("alignment_status")))
 
 
