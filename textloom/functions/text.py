@@ -15,9 +15,8 @@ def term(value: Column) -> Column:
 
 
 def words(value: Column) -> Column:
-    """The words of a string as an array; an empty array for a string without words."""
-    joined = term(value)
-    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
+    """The words of a string as an array; an empty array for a string without words. The text is searched once."""
+    return F.array_remove(F.split(F.lower(F.regexp_replace(value, SEPARATORS, " ")), " "), "")
 
 
 def has_words(value: Column) -> Column:
