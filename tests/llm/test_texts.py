@@ -111,25 +111,86 @@ def leak_tables(spark):
     return items, docs, spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame([(*d, "c") for d in docs], "doc_id long, text string, item string")
 
 
-@pytest.mark.parametrize("at_once", [7, 1_000])
+@pytest.mark.parametrize("at_once", [100, 100_000])
 def test_leaks(spark, at_once):
     items, docs, item_rows, doc_rows = leak_tables(spark)
     grams = lambda s: {tuple(w[i : i + 12]) for w in [re.findall(r"[^\W_]+", (s or "").lower())] for i in range(len(w) - 11)}
     want = {(d, i) for d, t in docs for i, s in items if grams(t) & grams(s)}
-    found = contamination.find_leaks(doc_rows, "doc_id", "text", item_rows, "item_id", "text", items_at_once=at_once).where("same")
+    found = contamination.find_leaks(doc_rows, "doc_id", "text", item_rows, "item_id", "text", words_at_once=at_once).where("same")
     assert {(r.doc, r.item) for r in found.collect()} == want and len(want) > 10
     assert contamination.find_leaks(doc_rows.limit(0), "doc_id", "text", item_rows, "item_id", "text").count() == 0
     assert contamination.find_leaks(doc_rows, "doc_id", "text", item_rows.limit(0), "item_id", "text").count() == 0
 
 
-def test_index_finds_all_within_radius():
+@pytest.mark.parametrize("radius", [3, 7, 12])
+def test_index_finds_all_within_radius(radius):
     rng = np.random.default_rng(5)
-    index = contamination.ItemIndex([(1, [f"a{i}" for i in range(200)])], 12, 3)
-    near = index.prints.copy()
-    for _ in range(3):
-        near ^= np.uint64(1) << rng.integers(0, 64, len(near), dtype=np.uint64)
-    found = {(p, w) for ps, ws, _ in index.candidates(near) for p, w in zip(ps.tolist(), ws.tolist(), strict=True)}
-    assert {(i, i) for i in range(len(near))} <= found
+    prints = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    index, near = contamination._Blocks(prints, radius), prints.copy()
+    for i in range(len(near)):
+        for bit in rng.choice(64, radius, replace=False).tolist():
+            near[i] ^= np.uint64(1) << np.uint64(bit)
+    position, window, distance = index.candidates(near)
+    assert {(i, i) for i in range(len(near))} <= set(zip(position.tolist(), window.tolist(), strict=True)) and distance.max() <= radius
+
+
+def test_fingerprints_by_brute_force():
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(0, 2**64, 50, dtype=np.uint64)
+    ids = rng.integers(0, 50, 40_000)
+    signs = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16) * 2 - 1
+    got = contamination.fingerprints(contamination.running_signs(ids, signs), 17)
+    for at in (0, 5, 39_000, 40_000 - 17):
+        assert got[at] == np.packbits(signs[ids[at : at + 17]].sum(0, dtype=int) > 0).view(np.uint64)[0]
+    assert len(got) == 40_000 - 16 and len(contamination.fingerprints(contamination.running_signs(ids[:5], signs), 17)) == 0
+
+
+def altered(rng, w, each):
+    out, at = list(w), rng.randrange(each)
+    for i in range(at, len(w), each):
+        out[i] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def recall(spark, each, similarity, radius):
+    """Share of items whose whole, with every `each`-th word changed, is found in a document at its place."""
+    rng = random.Random(each)
+    items = [(i, [f"w{rng.randrange(3_000)}" for _ in range(rng.randrange(37, 110))]) for i in range(320)]
+    docs = [(i, " ".join([f"d{rng.randrange(3_000)}" for _ in range(rng.randrange(50))] + altered(rng, w, each) + ["end"] * rng.randrange(30))) for i, w in items]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    found = contamination.find_leaks(d, "doc_id", "text", i, "item_id", "text", similarity=similarity, radius=radius).where("size > 12 and doc = item").select("doc").distinct().count()
+    return found / len(items)
+
+
+def test_recall_of_near_passages(spark):
+    """Within the similarity of 0.8, one changed word in about 60, by the radius in use; and, by wider parameters, passages
+    with every tenth to twelfth word changed, whose five-word shingles are 0.3 to 0.4 similar."""
+    assert recall(spark, 110, 0.8, 7) >= 0.9
+    for each in (10, 11, 12):
+        assert recall(spark, each, 0.2, 15) >= 0.9
+
+
+def test_index_is_linear():
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(50_000)]
+    items = [(i, rng.choices(vocabulary, k=100)) for i in range(20_000)]
+    import time
+
+    began = time.time()
+    index = contamination.ItemIndex(items, 12, 7)
+    assert time.time() - began < 30 and len(index.sizes[12][1]) == 20_000 * 89
+
+
+def test_long_text_in_stretches(spark):
+    rng = random.Random(4)
+    item = [f"w{i}" for i in range(40)]
+    long = rng.choices([f"x{i}" for i in range(900)], k=250_000)
+    for at in (0, 99_990, 200_030, len(long) - 40):
+        long[at : at + 40] = item
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(item[:13]))], "doc_id long, text string")
+    found = contamination.find_leaks(docs, "doc_id", "text", spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), "item_id", "text").collect()
+    assert {r.doc_at - r.item_at for r in found if r.doc == 1 and r.same} == {0, 99_990, 200_030, len(long) - 40}
+    assert {(r.doc_at, r.size) for r in found if r.doc == 2} == {(0, 12), (1, 12)} and len({(r.doc, r.doc_at, r.item_at, r.size) for r in found}) == len(found)
 
 
 WORDS = {

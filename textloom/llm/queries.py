@@ -160,9 +160,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document and item: windows that leaked as they are or nearly so."""
-    return _leaks(spark, folder).groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(
-        F.count(F.lit(1)).alias("windows"), F.count_if("same").alias("same_windows"), F.round(F.max("similarity"), 6).alias("best"),
+    """Per document and item: runs of 12 words that leaked as they are, and how similar the closest passage of the item's
+    whole size is, if it is similar at all."""
+    leaks = _leaks(spark, folder)
+    return leaks.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(
+        F.count_if((F.col("size") == 12) & F.col("same")).alias("same_runs"), F.round(F.max(F.when(F.col("size") > 12, F.col("similarity"))), 6).alias("whole"),
     )
 
 
