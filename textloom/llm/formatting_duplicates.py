@@ -1,6 +1,7 @@
 """Records that differ only in how they are written.
 
-A record is any value Spark can nest. Its digest is built bottom-up: leaves are normalised to their words and hashed,
+A record is any value Spark can nest. Its digest is built bottom-up: leaves are written in one way and hashed (strings as their words, other
+values exactly),
 each inner node hashes its children's digests, sorted first where the order of the children carries no meaning (fields
 of a struct, entries of a map, arrays declared as unordered). Equal records have equal root digests. As different ones
 may too, groups are formed by the digest together with the whole canonical structure, which settles every collision.
@@ -17,8 +18,23 @@ from textloom.operators.keyed import join_groups
 
 
 def _leaf(value: Column, kind: T.DataType) -> Column:
-    text = value if isinstance(kind, T.StringType) else value.cast("string")
-    return F.coalesce(term(text), F.lit(""))
+    """A leaf in the one way its value is written. A string is its words; a value of another type is a mark of its kind and
+    the value itself: 1.50 and 1.5 are one number, -1 and 1 aren't, and 15 isn't the string "15". Null is ''."""
+    if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)):
+        return F.coalesce(term(value), F.lit(""))
+    if isinstance(kind, T.IntegralType):
+        text = F.concat(F.lit("#"), value.cast("string"))
+    elif isinstance(kind, T.DecimalType):
+        text = F.concat(F.lit("#"), F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""))
+    elif isinstance(kind, T.FractionalType):
+        text = F.concat(F.lit("#"), F.regexp_replace(F.when(value == 0, "0").otherwise(value.cast("string")), r"\.0$", ""))
+    elif isinstance(kind, T.TimestampType):
+        text = F.concat(F.lit("@"), F.unix_micros(value).cast("string"))
+    elif isinstance(kind, T.BinaryType):
+        text = F.concat(F.lit("!"), F.hex(value))
+    else:
+        text = F.concat(F.lit("@" if isinstance(kind, (T.DateType, T.TimestampNTZType)) else "?"), value.cast("string"))
+    return F.coalesce(text, F.lit(""))
 
 
 def merkle_digest(value: Column, kind: T.DataType, ordered_arrays: bool = True) -> Column:
