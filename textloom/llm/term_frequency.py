@@ -54,7 +54,7 @@ def _aggregate(memory_mb: int, folder: str | None, final: bool):
             def flush() -> int:
                 t = pa.Table.from_batches(waiting)  # noqa: F841
                 db.execute(f"insert into total {_SUM}")
-                return db.execute("select coalesce(sum(strlen(term) + 32), 0) from total").fetchone()[0]
+                return db.execute("select coalesce(sum(strlen(term) + 32), 0) from total").fetchall()[0][0]
 
             def totals() -> Iterator[pa.RecordBatch]:
                 yield from db.sql(_SUM.replace("from t", "from total")).to_arrow_reader(50_000)
