@@ -29,13 +29,15 @@ def join_checked(rows: DataFrame, groups: DataFrame, keys: Sequence[str], most:
     return join_groups(rows, groups, keys, how)
 
 
-def rank_within(rows: DataFrame, key: str, order: Sequence[str], name: str, spread: int = 64) -> DataFrame:
+def rank_within(rows: DataFrame, key: str, order: Sequence[str], name: str, slice_rows: int = 500_000, most_keys: int = 200_000) -> DataFrame:
     """Add a dense zero-based row number within each key, without bringing a key's rows into one task.
 
-    Rows are spread by the hash of the order columns; numbers count on from slice to slice, so a key's rows are ranked by
-    (slice, order), which is a total order as far as the order columns are. The counts have at most `spread` rows a key.
+    Rows are spread by the hash of the order columns over as many slices as the key's count calls for, of about `slice_rows`
+    each; numbers count on from slice to slice, so a key's rows are ranked by (slice, order), which is a total order as far
+    as the order columns are. Rows with a null key are left out. The rows should be materialised, as they are counted first.
     """
-    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(spread)))
+    slices = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("_slices"))
+    sliced = join_checked(rows, slices, [key], most_keys).withColumn("_slice", F.pmod(F.xxhash64(*order), F.col("_slices"))).drop("_slices")
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(key, "_slice")
@@ -49,4 +51,3 @@ def rank_within(rows: DataFrame, key: str, order: Sequence[str], name: str, spre
         .withColumn(name, F.col("_offset") + F.col("_local"))
         .drop("_slice", "_offset", "_local")
     )
-
