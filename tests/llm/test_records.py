@@ -236,26 +236,34 @@ def test_radix_plan():
     assert plan[0] != plan[1] and plan[2] == plan[3] and len(set(plan)) == 8 and set(plan.values()) == set(range(max(plan.values()) + 1))
 
 
-def test_pairs(spark):
+@pytest.mark.parametrize(("most", "block"), [(500_000, 1000), (0, 3)])
+def test_pairs(spark, monkeypatch, most, block):
+    monkeypatch.setattr(cooccurrence, "MOST_ITEMS", most)
     rng = random.Random(7)
     items = [f"i{k}" for k in range(40)] + ["", None, "Hot!"]
-    data = [("s", [rng.choice(items) for _ in range(rng.randrange(9))] + ["hot"] * (i % 3 == 0)) if i % 40 else ("s", None) for i in range(1_500)]
+    data = [(rng.choice("st"), [rng.choice(items) for _ in range(rng.randrange(9))] + ["hot"] * (i % 3 == 0)) if i % 40 else ("s", None) for i in range(1_500)]
     data += [("s", ["x one", "X-one", "y"])] * 20
     rows = spark.createDataFrame(data, "l string, items array<string>").withColumn("weight", F.lit(1))
-    got = {(r.item_a, r.item_b): (r.together, r.records_a, r.records_b, round(r.lift, 9)) for r in cooccurrence.item_pairs(cooccurrence.baskets(rows, "s", F.transform("items", term)), 3, 1.5).collect()}
-    single, both = Counter(), Counter()
-    for _, own in data:
+    lists = [cooccurrence.baskets(rows.where(F.col("l") == k), k, F.transform("items", term)) for k in "st"]
+    found = cooccurrence.item_pairs(lists[0].union(lists[1]), 3, 1.5, block).collect()
+    got = {(r.list_name, r.item_a, r.item_b): (r.together, r.records_a, r.records_b, round(r.lift, 9)) for r in found}
+    single, both, n = Counter(), Counter(), Counter()
+    for k, own in data:
         kept = sorted({plain(x) for x in own or []} - {""})
-        single.update(kept)
-        both.update(combinations(kept, 2))
-    n = len(data)
-    want = {(a, b): (c, single[a], single[b], round(c * n / single[a] / single[b], 9)) for (a, b), c in both.items() if c >= 3 and c * n >= 1.5 * single[a] * single[b]}
-    assert got == want and ("x one", "y") in got
+        n[k] += 1
+        single.update((k, x) for x in kept)
+        both.update((k, *p) for p in combinations(kept, 2))
+    want = {
+        (k, a, b): (c, single[k, a], single[k, b], round(c * n[k] / single[k, a] / single[k, b], 9))
+        for (k, a, b), c in both.items() if c >= 3 and c * n[k] >= 1.5 * single[k, a] * single[k, b]
+    }
+    assert got == want and ("s", "x one", "y") in got and len(found) == len(got)
     assert cooccurrence.item_pairs(cooccurrence.baskets(rows.limit(0), "s", F.col("items"))).count() == 0
 
 
-def test_pairs_of_one_long_list(spark):
-    rows = spark.createDataFrame([([f"w{i:03d}" for i in range(300)],)] * 6, "items array<string>").union(spark.createDataFrame([([],)] * 60, "items array<string>"))
-    assert cooccurrence.item_pairs(cooccurrence.baskets(rows, "s", F.col("items"))).count() == 300 * 299 // 2
-
-
+def test_pairs_of_long_lists(spark):
+    rows = spark.createDataFrame([([f"w{i:04d}" for i in range(1_500)],)] * 6, "items array<string>").union(spark.createDataFrame([([],)] * 60, "items array<string>"))
+    assert cooccurrence.item_pairs(cooccurrence.baskets(rows, "s", F.col("items")), block=200).count() == 1_500 * 1_499 // 2
+    cut = spark.createDataFrame([([*range(6_000)], 1)], "codes array<int>, weight long")
+    sizes = cooccurrence._pairs_of(cut, 100).where(F.rand() < 2).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).select("n").collect()
+    assert sum(r.n for r in sizes) == 6_000 * 5_999 // 2 and max(r.n for r in sizes) < 0.2 * sum(r.n for r in sizes)
