@@ -74,7 +74,7 @@ def sentence_with_entity(spark: SparkSession, folder: str) -> DataFrame:
 
 def typed_instances(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "fig_instances").select("instance_id", R.type_name(F.col("type")).alias("type"), "confidence")
-    kept = rows.where(F.col("type").isin(R.listed(R.FIGURATIVE_TYPES)) & F.col("confidence").isNotNull() & ~F.isnan("confidence"))
+    kept = rows.where(F.col("type").isin(R.FIGURATIVE_TYPES) & F.col("confidence").isNotNull() & ~F.isnan("confidence"))
     return kept.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(R.clamp_confidence(F.col("confidence"))), 6).alias("confidence"))
 
 
@@ -193,12 +193,12 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     listing = "select key as id, (unnest(range(0, len(w))))::int as window_index, unnest(w) as window_text from f"
-    talk = "|".join(R.listed(R.NO_DECISION_WORDS))
-    decided = "|".join(R.listed(R.DECISION_WORDS) + R.DECISION_PHRASES)
-    first = ", ".join(f"'{x}'" for x in R.listed(R.IMPERATIVES))
+    talk = "|".join(R.NO_DECISION_WORDS)
+    decided = "|".join(R.DECISION_WORDS + R.DECISION_PHRASES)
+    first = ", ".join(f"'{x}'" for x in (y.split()[0] for y in R.IMPERATIVES))
     stripped = "decision"
-    for opening in R.CAUSAL_OPENINGS:
-        stripped = rf"regexp_replace({stripped}, '(?i)\s+{opening}\s+.*$', '')"
+    for pattern in R.CAUSAL_PATTERNS:
+        stripped = f"regexp_replace({stripped}, '(?i){pattern}', '')"
     cleaned = _SENTENCES + rf""", stripped as (select text_id, seq, trim({stripped}) as decision, decision as whole from sentences),
 cleaned as (select text_id, seq, decision from stripped where len(regexp_split_to_array(decision, '\s+')) >= 3 and not regexp_matches(lower(decision), '{talk}')
     and (regexp_matches(lower(decision), '{decided}') or split_part(lower(decision), ' ', 1) in ({first})))"""
@@ -218,7 +218,7 @@ cleaned as (select text_id, seq, decision from stripped where len(regexp_split_t
         "context_truncated": "select window_id, case when length(window_text) > 100 then window_text[1:100] || '...' else window_text end as context from rel_windows",
         "typed_instances": f"""select type, count(*) as n, round(avg(least(greatest(confidence, 0), 1)), 6) as confidence
             from (select translate(trim(lower(type)), ' -', '__') as type, confidence from fig_instances)
-            where type in ({', '.join(repr(t) for t in R.listed(R.FIGURATIVE_TYPES))}) and not isnan(confidence) group by 1""",
+            where type in ({', '.join(repr(t) for t in R.FIGURATIVE_TYPES)}) and not isnan(confidence) group by 1""",
         "score_fractions": "select l_suppkey, round(avg(least(greatest((l_quantity - 10) / 30, 0), 1)), 6) as fraction from lineitem group by 1",
         "reply_objects": "select event_id, (props->>'$.k')::int as k from events",
         "valid_runs": """select dimension, count(*) as n, sum(score)::bigint as total from (
