@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
+from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +28,13 @@ def materialise(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def broadcast_object(spark: SparkSession, value: Any) -> Broadcast:
+    """An object of a class of ours for all tasks; the class goes along, as executors needn't have the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def broadcast_value(shared: Broadcast) -> Any:
+    """What broadcast_object was given; to be called once per task."""
+    return pickle.loads(shared.value)
