@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import words
+from textloom.plans.storage import broadcast_object, broadcast_value
 
 HITS = "doc long, item long, doc_at int, item_at int, size int, distance int, similarity double, same boolean"
 _ARROW = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("doc_at", pa.int32()), ("item_at", pa.int32()), ("size", pa.int32()), ("distance", pa.int32()), ("similarity", pa.float64()), ("same", pa.bool_())])
@@ -202,11 +203,12 @@ def find_leaks(
     found = None
     for k in range(n_blocks):
         block = listed.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k) if n_blocks > 1 else listed
-        index = spark.sparkContext.broadcast(ItemIndex([(r.item, list(r.w)) for r in block.collect()], part, radius, shingle))
+        index = broadcast_object(spark, ItemIndex([(r.item, list(r.w)) for r in block.collect()], part, radius, shingle))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            known = broadcast_value(index)
             for batch in batches:
-                yield from _scan(batch, index.value, similarity)
+                yield from _scan(batch, known, similarity)
 
         hits = corpus.mapInArrow(scan, HITS)
         found = hits if found is None else found.unionByName(hits)
