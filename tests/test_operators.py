@@ -108,13 +108,16 @@ def test_pagerank(spark):
     edges, nodes, rows = random_graph(spark)
     n, total = 25, {a: sum(1 + (x + y) % 3 for x, y in edges if x == a) for a, _ in edges}
     rank = np.full(n, 1 / n)
-    for _ in range(15):
+    for _ in range(300):
         new = np.full(n, 0.15 / n + 0.85 * sum(rank[i] for i in range(n) if i not in total) / n)
         for a, b in edges:
             new[b] += 0.85 * rank[a] * (1 + (a + b) % 3) / total[a]
         rank = new
-    got = {r.id: r["rank"] for r in graphs.pagerank(nodes, rows, rounds=15).collect()}
+    got = {r.id: r["rank"] for r in graphs.pagerank(nodes, rows, tolerance=1e-9).collect()}
     assert np.allclose([got[i] for i in range(n)], rank) and sum(got.values()) == pytest.approx(1)
+    assert graphs.pagerank(nodes.limit(0), rows.limit(0)).count() == 0
+    alone = graphs.pagerank(nodes, rows.limit(0)).collect()
+    assert all(r["rank"] == pytest.approx(1 / n) for r in alone) and len(alone) == nodes.count()
 
 
 def test_pagerank_converges(spark):
@@ -126,10 +129,10 @@ def test_pagerank_converges(spark):
     m[:, 9] = 1 / n
     want = np.linalg.solve(np.eye(n) - 0.85 * m, np.full(n, 0.15 / n))
     edges, nodes = spark.createDataFrame([(a, b, 1) for a, b in pairs], "source int, target int, weight int"), spark.range(n)
-    got = {r.id: r["rank"] for r in graphs.pagerank(nodes, edges, rounds=200, tolerance=1e-3).collect()}
+    got = {r.id: r["rank"] for r in graphs.pagerank(nodes, edges, tolerance=1e-3).collect()}
     assert np.allclose([got[i] for i in range(n)], want, rtol=0, atol=6e-3)
     with pytest.raises(RuntimeError):
-        graphs.pagerank(nodes, edges, rounds=2, tolerance=1e-3)
+        graphs.pagerank(nodes, edges, tolerance=1e-3, at_once=2, most_rounds=2)
 
 
 def test_registered_pagerank_is_converged(spark, tmp_path):
@@ -140,7 +143,7 @@ def test_registered_pagerank_is_converged(spark, tmp_path):
         m[ids.index(b), ids.index(a)] = 1 / sum(x == a for x, _ in pairs)
     m[:, 5] = 1 / 6
     want = np.linalg.solve(np.eye(6) - 0.85 * m, np.full(6, 0.15 / 6))
-    got = {r.id: r["rank"] for r in relationship_queries.graph_pagerank_converged(spark, str(tmp_path)).collect()}
+    got = {r.id: r["rank"] for r in relationship_queries.graph_pagerank(spark, str(tmp_path)).collect()}
     assert np.allclose([got[i] for i in ids], want, rtol=0, atol=1e-5)
 
 
@@ -198,7 +201,7 @@ def test_nearest_of_every_query(spark):
 def test_wide_scores_have_every_run(spark, tmp_path):
     lines = [(1, 1, 1, r, float(q), 0.0, 0.0) for r, q in enumerate([1, 2, 3, 20, 30, 40, 50], 1)]
     spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    row = score_queries.wide_scores_all_runs(spark, str(tmp_path)).first()
+    row = score_queries.wide_scores(spark, str(tmp_path)).first()
     assert (row.quantity_run7, row.quantity_median) == (50, 20)
 
 

@@ -153,12 +153,12 @@ def relationships_normalise(rows: DataFrame, entity_threshold: str | float = "mo
     return maps | {"merged": R.merge(rows, maps["entity"], maps["type"])}
 
 
-def relationships_graph(rows: DataFrame, min_edge_weight: int = 1, rounds: int = 200, tolerance: float = 1e-6) -> dict[str, DataFrame]:
+def relationships_graph(rows: DataFrame, min_edge_weight: int = 1, tolerance: float = 1e-6) -> dict[str, DataFrame]:
     """nodes with all measures, edges, and a summary of one row. Ranks run to the tolerance."""
     clean = R.graph_rows(rows)
     nodes, edges = materialise(R.nodes(clean)), materialise(R.edges(clean))
     strong = N.simple_edges(R.filter_edges(edges, min_edge_weight))
-    full = nodes.join(N.degrees(strong), "id", "left").join(N.pagerank(nodes.select("id"), strong, rounds=rounds, tolerance=tolerance).withColumnRenamed("rank", "pagerank"), "id", "left")
+    full = nodes.join(N.degrees(strong), "id", "left").join(N.pagerank(nodes.select("id"), strong, tolerance=tolerance).withColumnRenamed("rank", "pagerank"), "id", "left")
     full = full.join(N.betweenness(nodes.select("id"), strong), "id", "left").fillna(0, ["in_degree", "out_degree", "degree"])
     parts = N.components(nodes.select("id"), strong)
     summary = N.density(nodes, strong).join(parts.agg(F.count_distinct("component").alias("components"))).join(edges.agg(F.max("weight").alias("max_weight")))

@@ -69,12 +69,7 @@ def primary_dimensions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wide_scores(spark: SparkSession, folder: str) -> DataFrame:
-    w = S.to_wide(_long(spark, folder).withColumn("justification", F.lit("")).where("run <= 3").groupBy("text_id", "dimension", "run").agg(F.max("score").alias("score"), F.max("justification").alias("justification")), ["text_id"], DIMENSIONS, 3)
-    return w.select("text_id", *[f"{d}_run{r}" for d in DIMENSIONS for r in (1, 2, 3)], *[f"{d}_median" for d in DIMENSIONS])
-
-
-def wide_scores_all_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """All seven runs of an order; wide_scores has its first three only."""
+    """All seven runs of an order, and medians over them."""
     runs = _long(spark, folder).groupBy("text_id", "dimension", "run").agg(F.max("score").alias("score")).withColumn("justification", F.lit(""))
     w = S.to_wide(runs, ["text_id"], DIMENSIONS, RUNS)
     return w.select("text_id", *[f"{d}_run{r}" for d in DIMENSIONS for r in range(1, RUNS + 1)], *[f"{d}_median" for d in DIMENSIONS])
@@ -315,7 +310,7 @@ def posterior_rhat(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     found = [
-        run_statistics, run_means, justifications, dataset_statistics, primary_dimensions, wide_scores, wide_scores_all_runs, descriptives, reliability, resolution, quintiles, average_ranks, empirical_cdf, pareto_frontier, spearman,
+        run_statistics, run_means, justifications, dataset_statistics, primary_dimensions, wide_scores, descriptives, reliability, resolution, quintiles, average_ranks, empirical_cdf, pareto_frontier, spearman,
         variant_metrics, wilcoxon, friedman, holm, interaction, alpha_runs, alpha_participants, alpha_sample_variance, alpha_interval, mean_interval, participant_centroids, participant_distances, cosine_distances,
         aitchison_distances, log_ratios, ternary_points, distance_summary, group_distances, group_effect, group_centroids, permutation_test, sample_distances, common_parts, aligned_scores, ellipses,
         participant_clusters, participant_kmeans, principal_components, similarity_map, beta_observations, posterior_draws, posterior_hdi, posterior_contrasts, posterior_rhat,
@@ -355,10 +350,7 @@ def oracle_sql() -> dict[str, str]:
             round(stddev_samp(mean), 6) as std, round(min(mean), 6) as min, round(max(mean), 6) as max from m group by 1""",
         "primary_dimensions": f"""with {_LONG}, m as (select dimension, entity, avg(score) as mean from long group by 1, 2)
             select entity, dimension as primary_dimension from m qualify row_number() over (partition by entity order by mean desc, list_position(['quantity', 'discount', 'tax'], dimension)) = 1""",
-        "wide_scores": f"with {_LONG}, r as (select text_id, dimension, run, max(score) as score from long where run <= 3 group by 1, 2, 3) select text_id, "
-            + ", ".join(f"max(score) filter (where dimension = '{d}' and run = {r}) as {d}_run{r}" for d in DIMENSIONS for r in (1, 2, 3)) + ", "
-            + ", ".join(f"round(quantile_cont(score, 0.5) filter (where dimension = '{d}'), 2) as {d}_median" for d in DIMENSIONS) + " from r group by 1",
-        "wide_scores_all_runs": f"with {_LONG}, r as (select text_id, dimension, run, max(score) as score from long group by 1, 2, 3) select text_id, "
+        "wide_scores": f"with {_LONG}, r as (select text_id, dimension, run, max(score) as score from long group by 1, 2, 3) select text_id, "
             + ", ".join(f"max(score) filter (where dimension = '{d}' and run = {r}) as {d}_run{r}" for d in DIMENSIONS for r in range(1, RUNS + 1)) + ", "
             + ", ".join(f"round(quantile_cont(score, 0.5) filter (where dimension = '{d}'), 2) as {d}_median" for d in DIMENSIONS) + " from r group by 1",
         "descriptives": f"""with {_FRACTIONS}, m as (select event_type, avg(x) as a, stddev_pop(x) as s from f group by 1) select f.event_type, count(*) as n, round(avg(x), 5) as mean, round(stddev_samp(x), 5) as sd, round(quantile_cont(x, 0.5), 5) as median,
