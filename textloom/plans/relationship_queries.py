@@ -301,6 +301,32 @@ ends as (select source as id, source as label, seq, 0 as n, text_id from r union
         "verification_batches": _REL + "select text_id, ceil(count(*) / 20)::bigint as batches, (ceil(count(*) / 20) - 1)::int as last from rels where text_id is not null group by 1",
         "mapped_labels": """select case when n_nationkey % 5 <> 0 then r_name else n_name end as place, count(*) as customers from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1""",
         "unfinished_windows": "select window_id, text_id, window_index from rel_windows w where not exists (select 1 from relationships r where r.text_id = w.text_id and r.window_index = w.window_index)",
+        "domain_edges": domains + """, ex as (select source, target, string_agg(instance_text, '|' order by seq, instance_text) as examples from
+                (select * from (select distinct source, target, seq, instance_text from r) qualify row_number() over (partition by source, target order by seq, instance_text) <= 5) group by 1, 2)
+            select r.source, r.target, count(*) as weight, count(distinct text_id) as text_count, array_to_string(list_sort(list(distinct type) filter (where type is not null)), '|') as types, any_value(examples) as examples
+            from r join ex on ex.source = r.source and ex.target = r.target group by 1, 2""",
+        "seed_lists": rf"""with j as (select text_id, entities_json as j, regexp_replace(entities_json, {_TRIM}) as t from relationships_sample_relationships_summary where entities_json is not null),
+            m as (select text_id, case when t[1] = '[' and json_valid(j) and json_type(j) = 'ARRAY' then json_extract_string(j, '$[*]') when contains(j, ';') then string_split(j, ';') else string_split(j, ',') end as m from j)
+            select text_id, max(len(list_filter(m, lambda x: x is not null and regexp_replace(x, {_TRIM}) <> '')))::int as entities from m group by 1""",
+        "graph_components": _REL.replace("with rels", "with recursive rels") + """, both_ways as (select source as a, target as b from e union select target, source from e),
+            cc(id, component) using key (id) as (
+                select id, id from n union select w.a, min(cc.component) from cc join both_ways w on w.b = cc.id join recurring.cc as held on held.id = w.a where cc.component < held.component group by 1
+            ) select id, component from cc""",
+        "graph_betweenness": """with recursive flows as (select distinct n_name as source, c_mktsegment || '/' || o_orderpriority as target from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+            ways as (select source, target from flows union select target, source from flows where length(target) > length(source) + 6),
+            ids as (select source as id from ways union select target from ways),
+            walks(s, v, d) as (select id, id, 0 from ids union select s, target, d + 1 from walks join ways on source = v where d < (select count(*) from ids)),
+            near as (select s, v, min(d) as d from walks group by 1, 2),
+            paths(s, v, d, k) as (
+                select id, id, 0, 1::double from ids union all
+                select p.s, w.target, p.d + 1, sum(p.k) from paths p join ways w on w.source = p.v join near x on x.s = p.s and x.v = w.target and x.d = p.d + 1 group by 1, 2, 3
+            ), through as (
+                select a.v as id, sum(a.k * b.k / t.k) as part from paths a join paths b on b.s = a.v join paths t on t.s = a.s and t.v = b.v and t.d = a.d + b.d where a.v <> a.s and b.v <> a.v group by 1
+            ) select ids.id, round(coalesce(part, 0) / ((select count(*) from ids) - 1) / ((select count(*) from ids) - 2), 9) as betweenness from ids left join through using (id)""",
+        "similar_types": """with l as (select distinct type as label, ' ' || lower(type) || ' ' as t from relationships where type is not null),
+            g as (select label, t[i:i + 2] as g from (select label, t, unnest(range(1, greatest(length(t) - 2, 1) + 1)) as i from l)), c as (select label, g, count(*) as c from g group by 1, 2),
+            w as (select label, g, c / sqrt(sum(c * c) over (partition by label)) as w from c)
+            select x.label as a, y.label as b, round(sum(x.w * y.w), 6) as similarity from w x join w y on x.g = y.g and x.label < y.label group by 1, 2 having sum(x.w * y.w) >= 0.9 - 1e-9""",
         "domain_nodes": domains + """select id, upper(id[1:1]) || lower(id[2:]) as label, count(*) filter (where n = 0) as as_source, count(*) filter (where n = 1) as as_target,
             case when bool_or(n = 0) and bool_or(n = 1) then 'both' when bool_or(n = 0) then 'source' else 'target' end as type from ends group by 1""",
         "detection_summaries": """select t.text_id, count(f.instance_id) > 0 as contains_figurative, round(coalesce(avg(f.confidence), 0), 6) as confidence, count(f.instance_id) as instance_count

@@ -164,6 +164,8 @@ def recorded_annotations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SPACE = r"[\s\x{00a0}\x{2009}\x{3000}\x{0085}\v]"
+_STRIP = r"regexp_replace({}, '^[\s\x{{00a0}}\x{{2009}}\x{{3000}}\x{{0085}}\v]+|[\s\x{{00a0}}\x{{2009}}\x{{3000}}\x{{0085}}\v]+$', '', 'g')"
+_EDGE = (_SPACE + r"|[!-/:-@\[-`{-~" + R.EDGE_MARKS + "]").replace("'", "''")
 
 
 def _windows(source: str, key: str, size: int, stride: int) -> str:
@@ -216,6 +218,38 @@ cleaned as (select text_id, seq, decision from stripped where len(regexp_split_t
         "prior_summaries": """select window_id, coalesce(array_to_string(list(coalesce(summary, '')) over (partition by text_id order by window_id rows between 5 preceding and 1 preceding), '|'), '') as prior
             from rel_windows where text_id is not null""",
         "context_truncated": "select window_id, case when length(window_text) > 100 then window_text[1:100] || '...' else window_text end as context from rel_windows",
+        "context_points": r"""with b as (
+                select text_id, window_id, list_filter(list_transform(regexp_split_to_array(window_text, '\. ')[1:3], lambda x: """ + _STRIP.format("x") + r"""[1:80]), lambda x: x <> '') as p
+                from rel_windows where text_id is not null and window_text is not null
+            ), f as (select window_id, flatten(coalesce(list(p) over (partition by text_id order by window_id rows between 10 preceding and 1 preceding), [])) as q from b)
+            select window_id, array_to_string(case when len(q) > 10 then q[len(q) - 9:] else q end, '|') as points from f""",
+        "fallback_summaries": r"""with p as (select window_id, regexp_split_to_array(window_text, '\. ') as p from rel_windows where window_text is not null)
+            select window_id, len(list_filter(list_transform(p[1:3], lambda x: """ + _STRIP.format("x") + "[1:80]), lambda x: x <> ''))::int as bullets, length(" + _STRIP.format("p[1]") + ")::int as summary_length from p",
+        "sentence_with_entity": rf"""with s as (
+                select instance_id, window_text, list_filter(list_transform(string_split(regexp_replace(window_text, '([.!?]){_SPACE}+', E'\\1\x01', 'g'), E'\x01'), lambda x: {_STRIP.format("x")}), lambda x: contains(lower(x), 'felt')) as u
+                from fig_instances where window_text is not null and instance_text is not null
+            ) select instance_id, coalesce(u[1], window_text) as sentence from s""",
+        "entity_contexts": rf"""with w as (
+                select text_id, window_index, arg_min(window_text, window_id) as t, arg_min(coalesce(entities_json, 'null'), window_id) as j from rel_windows where text_id is not null and window_text is not null group by 1, 2
+            ), e as (
+                select text_id, window_index, t, generate_subscripts(m, 1) as pos, unnest(m) as raw from (select *, json_extract_string(j, '$[*]') as m from w where json_valid(j) and json_type(j) = 'ARRAY')
+            ), n as (select *, {_STRIP.format("raw")} as entity from e), k as (
+                select text_id, lower(entity) as key, arg_min(entity, (window_index, pos)) as entity, min(window_index) as window_index, arg_min(t, (window_index, pos)) as t from n where entity <> '' group by 1, 2
+            ) select text_id, entity, case when length(t) > 200 then t[1:197] || '...' else t end as context, window_index from k""",
+        "carried_entities": rf"""with recursive w as (
+                select text_id, window_id, row_number() over (partition by text_id order by window_id) as i, case when json_valid(entities_json) and json_type(entities_json) = 'ARRAY' then json_extract_string(entities_json, '$[*]') else [] end as m
+                from rel_windows where text_id is not null
+            ), own as (
+                select text_id, window_id, i, list_distinct(list_filter(list_transform(m, lambda x: lower({_STRIP.format("x")})), lambda x: x is not null and x <> '')) as e from w
+            ), r(text_id, window_id, i, carried, held) as (
+                select text_id, window_id, i, []::varchar[], [e] from own where i = 1 union all
+                select o.text_id, o.window_id, o.i, list_distinct(flatten(r.held)), list_append(r.held, list_distinct(list_concat(o.e, flatten(r.held))))[-5:] from r join own o on o.text_id = r.text_id and o.i = r.i + 1
+            ) select window_id, len(carried)::int as carried from r""",
+        "match_keys": rf"""with k as (
+                select trim(regexp_replace(lower(translate(regexp_replace(instance_text, '^({_EDGE})+|({_EDGE})+$', '', 'g'), '{"".join(R.PLAIN).replace("'", "''")}', '{"".join(R.PLAIN.values()).replace("'", "''")}')), '{_SPACE}+', ' ', 'g')) as key from fig_instances
+            ) select key, count(*) as n from k group by 1""",
+        "recorded_annotations": """with a as (select item_id, coalesce(text, '') as p, answer from eval_items), r as (select p, any_value(answer) as answer from a where item_id % 2 = 0 group by 1), f as (select a.item_id, r.p is null as missing, r.answer from a left join r using (p))
+            select case when missing then 'not recorded' end as error, count(*) as n, count(answer) as summaries from f group by 1""",
         "typed_instances": f"""select type, count(*) as n, round(avg(least(greatest(confidence, 0), 1)), 6) as confidence
             from (select translate(trim(lower(type)), ' -', '__') as type, confidence from fig_instances)
             where type in ({', '.join(repr(t) for t in R.FIGURATIVE_TYPES)}) and not isnan(confidence) group by 1""",
