@@ -170,3 +170,87 @@ def test_report_has_every_group(spark):
     pairs = [("within", a, a) for a in names] + [("between", a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     lines = L.entity_report({"groups": spark.createDataFrame(pairs[::-1], "kind string, group_a string, group_b string")}).splitlines()
     assert [x for x in lines if x.startswith(("| within", "| between"))] == [f"| {k} | {a} | {b} |" for k, a, b in sorted(pairs)]
+
+
+def test_default_provider_answers_every_task(spark, texts):
+    rows = spark.createDataFrame([(1, "a", "time is a thief", "w", "metaphor"), (2, "b", "thief", None, "metaphor")], "seq int, text_id string, instance_text string, window_text string, type string")
+    mapped = {r.seq: (r.source_domain, r.target_domain, r.domain_confidence, r.error) for r in L.figurative_map(rows, P.RuleProvider()).collect()}
+    assert mapped == {1: ("thief", "time", 0.6, None), 2: ("", "", 0.3, None)}
+    found = L.entity_detect(texts, P.RuleProvider())["contexts"]
+    scored = L.entity_score(found, ["depth", P.Dimension("reach", "how far", 1, 5, "near", "far")], P.RuleProvider(), runs=2)
+    assert scored["scores"].count() == 4 * found.count() and scored["scores"].where("dimension = 'reach' and not score between 1 and 5").count() == 0
+    assert {r.text_id: r.text for r in L.resolved(texts, P.RuleProvider()).collect()}["t2"] == TEXTS[1][1]
+    assert {r.text for r in L.resolved(texts, Scripted(coreference='{"resolved_text": " "}')).collect()} == {t for _, t in TEXTS}
+
+
+def test_score_prompt(spark):
+    from pyspark.sql import functions as F
+
+    asked = P.score_prompt([P.Dimension("depth", "how deep", 0, 10, "flat", "bottomless"), P.Dimension("reach", high=10)], F.lit("the sea"), {"topic": "water", "none": ""})
+    text = spark.range(1).select(asked.alias("p")).first().p
+    assert text.startswith("score\n") and "Meaning: how deep" in text and "0 stands for: flat" in text and "10 stands for: bottomless" in text
+    assert "from 0 to 10, for example 5, 6, 8, 8, 9" in text and "topic: water" in text and "none:" not in text and text.endswith("ENTITY:\nthe sea")
+
+
+class Counting:
+    """Verdicts for all claims but the second of each batch; refuses more than three claims at once."""
+
+    def generate(self, prompt, system=None):
+        import json
+
+        n = prompt.count("CLAIM ")
+        if n > 3:
+            raise ValueError("too many")
+        return json.dumps({"verdicts": [{"index": i, "confidence": 0.5 + i / 10, "note": str(i)} for i in range(1, n + 1) if i != 2]})
+
+
+def test_claims_are_verified_in_batches(spark):
+    rows = spark.createDataFrame([(i, "t" if i < 7 else "u" if i < 9 else None, 0, f"s{i}", "x", "y") for i in range(10)], "seq long, text_id string, window_index int, source string, type string, target string")
+    windows = spark.createDataFrame([("t", 0, "the window")], "text_id string, window_index int, window_text string")
+    texts = spark.createDataFrame([("u", "the text")], "text_id string, text string")
+    got = L.relationships_verify(rows, windows, texts, Counting(), batch_size=3)["rows"].collect()
+    assert len(got) == 10 and not any(r.error for r in got)
+    by_text = {t: sorted(r.verification_confidence for r in got if r.text_id == t) for t in ("t", "u", None)}
+    assert by_text == {"t": [0.0, 0.0, 0.6, 0.6, 0.6, 0.8, 0.8], "u": [0.0, 0.6], None: [0.0]}
+    assert {r.verification_note for r in got if r.text_id is None} == {"No source text available"}
+
+
+def test_clusters_named_by_the_provider(spark):
+    rows = spark.createDataFrame([(1, "t", 0, "heavy rain", "floods", "causes", ""), (2, "t", 0, "heavy rains", "floods", "causes", "")], "seq long, text_id string, window_index int, source string, target string, type string, description string")
+    named = L.relationships_normalise(rows, method="llm", provider=Scripted(name='{"label": "RAIN"}'))
+    assert {(r.raw, r.canonical) for r in named["entity"].collect()} == {("heavy rain", "RAIN"), ("heavy rains", "RAIN"), ("floods", "floods")}
+    assert {r.canonical for r in L.relationships_normalise(rows, method="llm", provider=Scripted(name="no"))["entity"].collect()} == {"heavy rain", "floods"}
+    with pytest.raises(ValueError):
+        L.relationships_normalise(rows, method="llm")
+
+
+def test_label_modes(spark):
+    from textloom.operators import relationships as R
+
+    nodes = spark.createDataFrame([("a", "A", 3, 0.1), ("b", "B", 3, 0.5), ("c", "C", 1, 0.4)], "id string, label string, degree int, pagerank double")
+    got = {m: {r.id for r in R.labelled(nodes, m).collect()} for m in ("all", "none", "top:1", "pagerank:2", "top:x", "odd")}
+    assert got == {"all": {"a", "b", "c"}, "none": set(), "top:1": {"a"}, "pagerank:2": {"b", "c"}, "top:x": {"a", "b", "c"}, "odd": {"a", "b", "c"}}
+
+
+@pytest.mark.parametrize(("text", "want"), [('x {"a": [1]} y', '{"a": [1]}'), ("[1}", None), ('{"a": "]"}', '{"a": "]"}'), ("{[}]", None), ("none", None)])
+def test_balanced_brackets(text, want):
+    assert P.balanced(text) == want
+
+
+def test_http_provider_tries_again(monkeypatch):
+    import io
+    import urllib.request
+
+    calls = []
+
+    def open_(request, timeout):
+        calls.append(request.data)
+        if len(calls) < 3:
+            raise OSError("down")
+        return io.BytesIO(b'{"response": "ok"}')
+
+    monkeypatch.setattr(urllib.request, "urlopen", open_)
+    assert P.HttpProvider("m", options={"temperature": 0.1}, pause=0).generate("p") == "ok" and b'"temperature": 0.1' in calls[0] and len(calls) == 3
+    calls.clear()
+    with pytest.raises(OSError):
+        P.HttpProvider("m", retries=1, pause=0).generate("p")

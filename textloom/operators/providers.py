@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -61,25 +62,57 @@ class RuleProvider:
         return {"is_causal": bool(self.CAUSE.search(text)), "polarity": "neutral", "certainty": "possible", "explicit_vs_implicit": "explicit"}
 
     def _verify(self, text: str) -> dict:
-        return {"confidence": 0.9 if text.strip() else 0.0, "note": ""}
+        sure = lambda x: 0.9 if x.strip() else 0.0
+        claims = list(re.finditer(r"^CLAIM (\d+): ", text, re.M))
+        if not claims:
+            return {"confidence": sure(text), "note": ""}
+        return {"verdicts": [{"index": int(m[1]), "confidence": sure(text[m.end() :]), "note": ""} for m in claims]}
 
     def _score(self, text: str) -> dict:
-        return {"score": sum(map(ord, text)) % 101, "justification": "by rule"}
+        """A score for each dimension named ahead of the line "ENTITY:", within its scale, told by the letters behind it."""
+        head, _, subject = text.partition("ENTITY:\n")
+        asked = re.findall(r"^DIMENSION: (.+)\n(?:.*\n)*?Scale: (-?\d+) to (-?\d+)$", head, re.M)
+        told = sum(map(ord, subject or text))
+        found = {d: {"score": int(a) + (told + sum(map(ord, d))) % (int(b) - int(a) + 1), "justification": "by rule"} for d, a, b in asked}
+        return found or {"score": told % 101, "justification": "by rule"}
+
+    def _domains(self, text: str) -> dict:
+        """What is spoken of comes first, what it is seen as comes last."""
+        words = [w for w in re.findall(r"[^\W\d_]+", text.partition("\n")[0].lower()) if w not in ("a", "an", "the")]
+        return {"source_domain": words[-1], "target_domain": words[0], "confidence": "medium"} if len(words) > 1 else {"source_domain": "", "target_domain": "", "confidence": "low"}
+
+    def _name(self, text: str) -> dict:
+        """The shortest of the listed labels, the first in the alphabet of those."""
+        return {"label": min((x for x in text.split("\n") if x.strip()), key=lambda x: (len(x), x), default="")}
+
+    def _coreference(self, text: str) -> dict:
+        return {"resolved_text": text}
 
 
 class HttpProvider:
-    """A local server with an /api/generate route. Retries are the caller's; an unreachable server is an error value."""
+    """A local server with an /api/generate route. A call that fails is made `retries` more times, after growing pauses; what
+    fails then is an error value. `options` go to the server, such as temperature or the number of tokens."""
 
-    def __init__(self, model: str, url: str = "http://localhost:11434", timeout: float = 60.0, as_json: bool = True) -> None:
+    def __init__(self, model: str, url: str = "http://localhost:11434", timeout: float = 60.0, as_json: bool = True, options: dict | None = None, retries: int = 2, pause: float = 0.5) -> None:
         self.model, self.url, self.timeout, self.as_json = model, url, timeout, as_json
+        self.options, self.retries, self.pause = options or {}, retries, pause
 
     def generate(self, prompt: str, system: str | None = None) -> str:
+        import time
         import urllib.request
 
-        body = {"model": self.model, "prompt": prompt, "stream": False, "system": system} | ({"format": "json"} if self.as_json else {})
-        request = urllib.request.Request(f"{self.url}/api/generate", json.dumps({k: v for k, v in body.items() if v is not None}).encode(), {"Content-Type": "application/json"})
-        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
-            return json.loads(reply.read())["response"]
+        body = {"model": self.model, "prompt": prompt, "stream": False, "system": system, "options": self.options or None} | ({"format": "json"} if self.as_json else {})
+        data = json.dumps({k: v for k, v in body.items() if v is not None}).encode()
+        for left in range(self.retries, -1, -1):
+            try:
+                request = urllib.request.Request(f"{self.url}/api/generate", data, {"Content-Type": "application/json"})
+                with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                    return json.loads(reply.read())["response"]
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(self.pause * 2 ** (self.retries - left))
+        raise AssertionError
 
 
 # What each task asks for; our own wording.
@@ -92,6 +125,9 @@ PROMPTS = {
     "factors": "List what spoke for or against the decision, with factor and polarity. Answer as JSON: {\"factors\": [..]}.",
     "causal": "Say whether the relationship is causal, its polarity, certainty and whether it is explicit. Answer as JSON.",
     "verify": "Say how surely the text supports the relationship. Answer as JSON: {\"confidence\": .., \"note\": ..}.",
+    "domains": "Name the domain that is spoken of (target) and the one it is seen as (source). Answer as JSON: {\"source_domain\": .., \"target_domain\": .., \"confidence\": ..}.",
+    "name": "Give one label that stands for all of these. Answer as JSON: {\"label\": ..}.",
+    "coreference": "Replace pronouns by what they stand for and change nothing else. Answer as JSON: {\"resolved_text\": ..}.",
     "score": "Score the entity on each dimension, in whole numbers of the scale, with a justification. Answer as JSON.",
 }
 
@@ -148,7 +184,9 @@ SCHEMAS = {
     "decisions": "decisions array<string>",
     "factors": "factors array<struct<factor:string,polarity:string,confidence:double>>",
     "causal": "is_causal boolean, polarity string, certainty string, explicit_vs_implicit string, reasoning string",
-    "verify": "confidence double, note string",
+    "verify": "confidence double, note string, verdicts array<struct<index:int,confidence:double,note:string>>",
+    "name": "label string",
+    "coreference": "resolved_text string",
 }
 
 
@@ -158,14 +196,14 @@ def parse(rows: DataFrame, task: str, reply: str = "reply") -> DataFrame:
     return rows.withColumn("parsed", inside).withColumn("parse_failed", F.col(reply).isNotNull() & object_text(F.col(reply)).isNull())
 
 
-def parse_scores(rows: DataFrame, dimensions: list[str], low: int, high: int, reply: str = "reply") -> DataFrame:
-    """One row per dimension of replies that are whole: each dimension a whole number within the scale (80.0 counts, true and
+def parse_scores(rows: DataFrame, dimensions: list[str], scales: dict[str, tuple[int, int]], reply: str = "reply") -> DataFrame:
+    """One row per dimension of replies that are whole: each dimension a whole number within its scale (80.0 counts, true and
     "80" don't), nothing else. One missing or bad dimension drops the run."""
     members = F.from_json(object_text(F.col(reply)), "map<string,string>")
     value = lambda d: F.try_element_at(members, F.lit(d))
     raw = lambda d: F.coalesce(F.get_json_object(value(d), "$.score"), value(d))
     number = lambda d: F.when(raw(d).rlike(r"^-?\d+(\.0+)?$"), raw(d).cast("double").cast("int"))
-    good = [number(d).between(low, high) for d in dimensions]
+    good = [number(d).between(*scales[d]) for d in dimensions]
     known = F.size(F.array_except(F.map_keys(members), F.array(*[F.lit(d) for d in dimensions]))) == 0
     whole = rows.where(F.coalesce(known, F.lit(False)))
     for g in good:
@@ -179,12 +217,42 @@ def score_examples(low: float, high: float) -> list[int]:
     return [round(low + (high - low) * p) for p in (0.5, 0.6, 0.75, 0.85, 0.9)]
 
 
+@dataclass(frozen=True)
+class Dimension:
+    """What is scored: a name, what it means, its scale, and what the ends of the scale stand for."""
+
+    name: str
+    meaning: str = ""
+    low: int = 0
+    high: int = 100
+    low_anchor: str = ""
+    high_anchor: str = ""
+
+
+def score_prompt(dimensions: Sequence[Dimension], subject: Column, research: dict[str, str] | None = None) -> Column:
+    """The prompt of a scoring task: every dimension with meaning, scale and anchors, the scale in words with examples that
+    fit it, what the research is about, and the subject."""
+    lines = []
+    for d in dimensions:
+        lines += [f"DIMENSION: {d.name}"] + [f"Meaning: {d.meaning}"] * bool(d.meaning) + [f"Scale: {d.low} to {d.high}"]
+        lines += [f"{d.low} stands for: {d.low_anchor}"] * bool(d.low_anchor) + [f"{d.high} stands for: {d.high_anchor}"] * bool(d.high_anchor) + [""]
+    scales = {(d.low, d.high) for d in dimensions}
+    if len(scales) == 1:
+        (low, high), = scales
+        lines.append(f"Use whole numbers from {low} to {high}, for example {', '.join(map(str, score_examples(low, high)))}.")
+    else:
+        lines.append("Use whole numbers of each dimension's own scale.")
+    lines += [f"{k}: {v}" for k, v in (research or {}).items() if v]
+    return prompt("score", F.concat(F.lit("\n".join(lines) + "\nENTITY:\n"), F.coalesce(subject, F.lit(""))))
+
+
 def balanced(text: str | None) -> str | None:
-    """The first balanced {...} or [...] of a reply, minding strings and escapes; None if there is none."""
+    """The first balanced {...} or [...] of a reply, minding strings and escapes; None if there is none, or
+    a bracket closes one of the other kind."""
     start = next((i for i, c in enumerate(text or "") if c in "{["), None)
     if start is None:
         return None
-    depth, quoted, escaped = 0, False, False
+    open_, quoted, escaped = [], False, False
     for i in range(start, len(text)):
         c = text[i]
         if quoted:
@@ -192,10 +260,11 @@ def balanced(text: str | None) -> str | None:
         elif c == '"':
             quoted = True
         elif c in "{[":
-            depth += 1
+            open_.append("}" if c == "{" else "]")
         elif c in "}]":
-            depth -= 1
-            if not depth:
+            if c != open_.pop():
+                return None
+            if not open_:
                 return text[start : i + 1]
     return None
 

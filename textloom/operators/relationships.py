@@ -123,6 +123,18 @@ def causal_majority(rows: DataFrame, attributes: Sequence[str] = tuple(CAUSAL))
     return best.groupBy(*key).pivot("name", list(attributes)).agg(F.first("value")).withColumn("is_causal", F.lit(True))
 
 
+def labelled(node_rows: DataFrame, mode: str = "all") -> DataFrame:
+    """(id, label) of the nodes a picture names: all, none, top:N by degree or pagerank:N; all for a mode it doesn't know. The
+    lower id on ties."""
+    if mode == "none":
+        return node_rows.select("id", "label").limit(0)
+    kind, _, count = mode.partition(":")
+    measure = {"top": "degree", "pagerank": "pagerank"}.get(kind)
+    if measure is None or not count.isdigit():
+        return node_rows.select("id", "label")
+    return node_rows.orderBy(F.desc(measure), "id").limit(int(count)).select("id", "label")
+
+
 def filter_edges(edge_rows: DataFrame, min_weight: int = 1, types: Sequence[str] | None = None) -> DataFrame:
     kept = edge_rows.where(F.col("weight") >= min_weight)
     return kept.where(F.lower("type").isin([t.lower() for t in types])) if types else kept

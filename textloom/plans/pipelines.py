@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.rules import ENTITY_THRESHOLDS, threshold, trimmed
@@ -40,6 +40,25 @@ def summarised(windows: DataFrame, provider: P.Provider) -> DataFrame:
     return replied.withColumn("summary", F.coalesce(points, F.col("parsed.summary"), F.nullif("reply", F.lit("")), fallback)).drop("reply", "error", "parsed", "parse_failed")
 
 
+def resolved(texts: DataFrame, provider: P.Provider) -> DataFrame:
+    """texts with pronouns replaced as the provider says."""
+    asked = P.parse(P.annotate(texts, P.prompt("coreference", F.col("text")), provider), "coreference")
+    new = F.coalesce(F.nullif(trimmed(F.col("parsed.resolved_text")), F.lit("")), F.col("text"))
+    return asked.withColumn("text", new).drop("reply", "error", "parsed", "parse_failed")
+
+
+def named_clusters(clusters: DataFrame, counts: DataFrame, provider: P.Provider, most: int = 10) -> DataFrame:
+    """(raw, canonical, avg_similarity) with the label the provider gives each cluster, told its `most` most frequent labels;
+    the most frequent one where no label comes back. Clusters of one label aren't asked."""
+    ranked = clusters.join(counts.select("label", "count"), "label", "left").withColumn("_n", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("count"), "label")))
+    listed = ranked.where(F.col("_n") <= most).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("_n", "label"))).alias("x"))
+    told = listed.select("cluster", F.col("x.label").alias("labels"))
+    asked = P.parse(P.annotate(told.where("size(labels) > 1"), P.prompt("name", F.array_join("labels", "\n")), provider), "name")
+    names = asked.select("cluster", F.coalesce(F.nullif(trimmed(F.col("parsed.label")), F.lit("")), F.get("labels", F.lit(0))).alias("canonical"))
+    names = names.unionByName(told.where("size(labels) = 1").select("cluster", F.get("labels", F.lit(0)).alias("canonical")))
+    return clusters.join(names, "cluster").select(F.col("label").alias("raw"), "canonical", "avg_similarity")
+
+
 @dataclass(frozen=True)
 class Figurative:
     size: int = 3
@@ -65,7 +84,7 @@ def figurative_detect(texts: DataFrame, provider: P.Provider, config: Figurative
 
 def figurative_map(instances: DataFrame, provider: P.Provider, level: str = "moderate") -> DataFrame:
     """Add source_domain, target_domain, domain_confidence, error. A reply may give a domain as a word or by levels."""
-    asked = P.annotate(instances, P.prompt("domains", F.concat_ws("\n", "instance_text", "window_text"), template="Name the source and target domain. Answer as JSON."), provider)
+    asked = P.annotate(instances, P.prompt("domains", F.concat_ws("\n", "instance_text", "window_text")), provider)
     from textloom.functions.rules import object_text
 
     members = F.from_json(object_text(F.col("reply")), "map<string,string>")
@@ -102,9 +121,12 @@ def figurative_pipeline(instances: DataFrame, provider: P.Provider) -> dict[str,
     return {"mapped": mapped, "mapping": mapping} | figurative_graph(mapped, mapping)
 
 
-def relationships_detect(texts: DataFrame, provider: P.Provider, size: int = 3, stride: int = 2, carry: int = 5, two_pass: bool = True) -> dict[str, DataFrame]:
+def relationships_detect(texts: DataFrame, provider: P.Provider, size: int = 3, stride: int = 2, carry: int = 5, two_pass: bool = True, coreference: bool = False) -> dict[str, DataFrame]:
     """windows, edges, summary. In two passes entities are found first and carried over windows, and relationships are asked
-    for with them; in one, relationships alone are."""
+    for with them; in one, relationships alone are. With `coreference` a text is rewritten ahead of windowing; where no
+    rewriting comes back it stays as it is."""
+    if coreference:
+        texts = materialise(resolved(texts, provider))
     windows = windows_of(texts, size, stride)
     context = F.array().cast("array<string>")
     if two_pass:
@@ -124,32 +146,46 @@ def relationships_detect(texts: DataFrame, provider: P.Provider, size: int = 3,
     return {"windows": asked.drop("reply", "parsed"), "edges": edges, "summary": summary.fillna(0, ["relationship_count", "window_count", "errors"])}
 
 
-def relationships_verify(rows: DataFrame, windows: DataFrame, texts: DataFrame, provider: P.Provider, confidence_threshold: float | None = None) -> dict[str, DataFrame]:
-    """rows judged against their window or text, and statistics. A threshold of 0 counts as given."""
-    placed = R.with_source_text(rows, windows, texts)
-    claim = F.concat_ws(" ", "source", "type", "target")
-    asked = P.parse(P.annotate(placed, P.prompt("verify", F.concat_ws("\n", claim, "source_text")), provider), "verify")
-    judged = asked.withColumns({"confidence": F.col("parsed.confidence"), "note": F.col("parsed.note")})
-    verified = materialise(R.verify_rows(judged, 0.5 if confidence_threshold is None else confidence_threshold).drop("reply", "parsed", "parse_failed"))
+def relationships_verify(rows: DataFrame, windows: DataFrame, texts: DataFrame, provider: P.Provider, confidence_threshold: float | None = None, batch_size: int = 20) -> dict[str, DataFrame]:
+    """rows judged against their window or text, and statistics. A threshold of 0 counts as given. A text's claims are asked
+    in batches of at most `batch_size`; a claim the reply leaves out has no confidence. Rows without a source text aren't asked."""
+    placed = materialise(R.with_source_text(rows, windows, texts))
+    asked = R.batches(placed.where("source_text is not null"), ["text_id"], "seq", batch_size)
+    claim = F.struct("seq", F.concat_ws(" ", "source", "type", "target").alias("claim"), "source_text")
+    together = asked.groupBy("text_id", "batch").agg(F.array_sort(F.collect_list(claim)).alias("claims"))
+    numbered = F.transform("claims", lambda x, i: F.concat(F.lit("CLAIM "), (i + 1).cast("string"), F.lit(": "), x["claim"], F.lit("\nSOURCE: "), x["source_text"]))
+    replied = P.parse(P.annotate(together, P.prompt("verify", F.array_join(numbered, "\n")), provider), "verify")
+    mine = lambda i: F.get(F.filter("parsed.verdicts", lambda v: v["index"] == i + 1), F.lit(0))
+    each = F.transform("claims", lambda x, i: F.struct(x["seq"].alias("seq"), F.coalesce(mine(i)["confidence"], F.col("parsed.confidence")).alias("confidence"), F.coalesce(mine(i)["note"], F.col("parsed.note")).alias("note")))
+    verdicts = replied.select(F.inline(each), "error")
+    judged = placed.drop("confidence", "note", "error").join(verdicts, "seq", "left")
+    verified = materialise(R.verify_rows(judged, 0.5 if confidence_threshold is None else confidence_threshold))
     return {"rows": verified, "statistics": R.verification_statistics(verified)}
 
 
-def relationships_causal(rows: DataFrame, provider: P.Provider) -> dict[str, DataFrame]:
-    """rows with causal attributes, and both ways of counting."""
-    asked = P.parse(P.annotate(rows, P.prompt("causal", F.concat_ws(" ", "source", "type", "target", "description")), provider), "causal")
+def relationships_causal(rows: DataFrame, provider: P.Provider, max_evidence: int = 3) -> dict[str, DataFrame]:
+    """rows with causal attributes, and both ways of counting. The evidence is the first `max_evidence` of a merged row's
+    descriptions, else the row's own description, else said to be missing."""
+    own = F.when(F.col("description") != "", F.array("description"))
+    evidence = F.coalesce(F.when(F.size("descriptions") > 0, F.slice("descriptions", 1, max_evidence)), own) if "descriptions" in rows.columns else own
+    listed = F.coalesce(F.array_join(F.transform(evidence, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("No direct evidence available"))
+    asked = P.parse(P.annotate(rows, P.prompt("causal", F.concat_ws("\n", F.concat_ws(" ", "source", "type", "target"), listed)), provider), "causal")
     flat = asked.withColumn("is_causal", F.coalesce("parsed.is_causal", F.lit(False))).withColumns({c: F.col(f"parsed.{c}") for c in R.CAUSAL})
     judged = materialise(R.valid_causal(flat).drop("reply", "parsed", "parse_failed"))
     return {"rows": judged, "statistics": R.causal_statistics(judged)}
 
 
-def relationships_normalise(rows: DataFrame, entity_threshold: str | float = "moderate", type_threshold: str | float = "moderate", method: str = "shortest") -> dict[str, DataFrame]:
-    """clusters of entities and types, and the merged relationships."""
+def relationships_normalise(rows: DataFrame, entity_threshold: str | float = "moderate", type_threshold: str | float = "moderate", method: str = "shortest", provider: P.Provider | None = None) -> dict[str, DataFrame]:
+    """clusters of entities and types, and the merged relationships. Method llm asks the provider for each cluster's label."""
+    if method == "llm" and provider is None:
+        raise ValueError("method llm needs a provider")
     counts = materialise(R.label_counts(rows))
     maps = {}
     for kind, given in (("entity", entity_threshold), ("type", type_threshold)):
         own, t = counts.where(F.col("kind") == kind), threshold(given)
         pairs = materialise(M.similar_pairs(M.embed(own), t))
-        maps[kind] = materialise(M.canonical(M.cluster(own, pairs, t), own, method, pairs))
+        clusters = materialise(M.cluster(own, pairs, t))
+        maps[kind] = materialise(named_clusters(clusters, own, provider) if method == "llm" else M.canonical(clusters, own, method, pairs))
     return maps | {"merged": R.merge(rows, maps["entity"], maps["type"])}
 
 
@@ -162,7 +198,12 @@ def relationships_graph(rows: DataFrame, min_edge_weight: int = 1, tolerance: fl
     full = full.join(N.betweenness(nodes.select("id"), strong), "id", "left").fillna(0, ["in_degree", "out_degree", "degree"])
     parts = N.components(nodes.select("id"), strong)
     summary = N.density(nodes, strong).join(parts.agg(F.count_distinct("component").alias("components"))).join(edges.agg(F.max("weight").alias("max_weight")))
-    return {"nodes": full.join(parts, "id", "left"), "edges": edges, "summary": summary}
+    full = full.join(parts, "id", "left")
+    full = materialise(full)
+    for measure in ("degree", "pagerank", "betweenness"):
+        top = full.orderBy(F.desc(measure), "id").limit(5).agg(F.array_sort(F.collect_list(F.struct((-F.col(measure)).alias("m"), "id", "label"))).alias("x"))
+        summary = summary.join(top.select(F.col("x.label").alias(f"top_by_{measure}")))
+    return {"nodes": full, "edges": edges, "summary": summary}
 
 
 def entity_detect(texts: DataFrame, provider: P.Provider, size: int | None = 3, stride: int = 2, most: int = 500) -> dict[str, DataFrame]:
@@ -179,13 +220,17 @@ def entity_prepare_scoring(windows: DataFrame, nodes: DataFrame | None = None, m
     return contexts if nodes is None else X.filter_by_nodes(contexts, nodes, min_frequency)
 
 
-def entity_score(entities: DataFrame, dimensions: list[str], provider: P.Provider, runs: int = 3, low: int = 0, high: int = 100, done: DataFrame | None = None) -> dict[str, DataFrame]:
-    """scores (long), statistics, justifications. Runs that fail drop; an entity counts while one run succeeds."""
+def entity_score(entities: DataFrame, dimensions: Sequence[str | P.Dimension], provider: P.Provider, runs: int = 3, low: int = 0, high: int = 100, done: DataFrame | None = None, research: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """scores (long), statistics, justifications. Runs that fail drop; an entity counts while one run succeeds. Dimensions are
+    names, scored from `low` to `high`, or Dimensions with a meaning, anchors and a scale of their own."""
+    asked = [d if isinstance(d, P.Dimension) else P.Dimension(d, low=low, high=high) for d in dimensions]
     keys = ["entity", "text_id", "window_index"]
     todo = X.resume(entities, done, keys) if done is not None else entities
     each = todo.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
-    ask: Column = F.concat_ws("\n", F.lit("Dimensions: " + ", ".join(dimensions)), F.lit(f"Scale: {low} to {high}, for example {P.score_examples(low, high)}"), "entity", "context", F.col("run").cast("string"))
-    scores = materialise(P.parse_scores(P.annotate(each, P.prompt("score", ask), provider), dimensions, low, high).drop("reply"))
+    subject = F.concat_ws("\n", "entity", "context", F.col("run").cast("string"))
+    replied = P.annotate(each, P.score_prompt(asked, subject, research), provider)
+    scores = materialise(P.parse_scores(replied, [d.name for d in asked], {d.name: (d.low, d.high) for d in asked}).drop("reply"))
+    low, high = min(d.low for d in asked), max(d.high for d in asked)
     by = [*keys, "dimension"]
     return {"scores": scores, "statistics": S.run_statistics(scores, by, low, high), "justifications": S.representative_justification(scores, by)}
 

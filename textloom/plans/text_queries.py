@@ -96,7 +96,7 @@ def reply_objects(spark: SparkSession, folder: str) -> DataFrame:
 def valid_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of replies, one of them a whole number written as a fraction; values beyond the scale drop the run."""
     rows = table(spark, folder, "events").select("event_id", F.concat(F.lit('{"depth": '), F.get_json_object("props", "$.k"), F.lit(".0, \"reach\": 7}")).alias("reply"))
-    return P.parse_scores(rows, ["depth", "reach"], 0, 80).groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
+    return P.parse_scores(rows, ["depth", "reach"], {"depth": (0, 80), "reach": (0, 80)}).groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
 
 
 def _sentences(spark: SparkSession, folder: str) -> DataFrame:
@@ -184,11 +184,28 @@ with s as (
 """
 
 
+def mapped_domains(spark: SparkSession, folder: str) -> DataFrame:
+    """Source and target domains by the default provider."""
+    from textloom.plans.pipelines import figurative_map
+
+    rows = table(spark, folder, "fig_instances").where("instance_text is not null").select("instance_id", "instance_text", "window_text")
+    return figurative_map(rows, P.RuleProvider()).select("instance_id", "source_domain", "target_domain", "domain_confidence")
+
+
+def rule_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers scored on two dimensions of different scales, three runs each, by the default provider."""
+    from textloom.plans.pipelines import entity_score
+
+    rows = table(spark, folder, "customer").select(F.col("c_name").alias("entity"), F.col("c_custkey").cast("string").alias("text_id"), F.lit(0).alias("window_index"), F.col("c_mktsegment").alias("context"))
+    dimensions = [P.Dimension("depth", "how far it goes", 0, 100, "not at all", "all the way"), P.Dimension("reach", low=1, high=7)]
+    return entity_score(rows, dimensions, P.RuleProvider())["scores"].select("text_id", "run", "dimension", "score")
+
+
 def queries() -> dict:
     found = [
         window_counts, token_windows, sentence_windows, decision_windows, sentence_counts, prior_summaries, context_points, carried_entities, entity_contexts, context_truncated,
         sentence_with_entity, typed_instances, score_fractions, match_keys, reply_objects, valid_runs, valid_decisions, first_decisions, factor_polarity, decision_totals,
-        decision_factor_rows, fallback_summaries, rule_annotations, recorded_annotations,
+        decision_factor_rows, fallback_summaries, rule_annotations, recorded_annotations, mapped_domains, rule_scores,
     ]
     return {f.__name__: f for f in found}
 
@@ -250,6 +267,11 @@ cleaned as (select text_id, seq, decision from stripped where len(regexp_split_t
             ) select key, count(*) as n from k group by 1""",
         "recorded_annotations": """with a as (select item_id, coalesce(text, '') as p, answer from eval_items), r as (select p, any_value(answer) as answer from a where item_id % 2 = 0 group by 1), f as (select a.item_id, r.p is null as missing, r.answer from a left join r using (p))
             select case when missing then 'not recorded' end as error, count(*) as n, count(answer) as summaries from f group by 1""",
+        "mapped_domains": r"""with w as (select instance_id, list_filter(regexp_extract_all(lower(split_part(instance_text, chr(10), 1)), '\p{L}+'), lambda x: x not in ('a', 'an', 'the')) as w from fig_instances where instance_text is not null)
+            select instance_id, case when len(w) > 1 then w[-1] else '' end as source_domain, case when len(w) > 1 then w[1] else '' end as target_domain, case when len(w) > 1 then 0.6 else 0.3 end::double as domain_confidence from w""",
+        "rule_scores": """with e as (select c_custkey::varchar as text_id, unnest([1, 2, 3]) as run, c_name || chr(10) || c_mktsegment || chr(10) as t from customer),
+            o as (select text_id, run, list_sum(list_transform(string_split(t || run, ''), lambda x: ord(x))) as n from e)
+            select text_id, run, unnest([{'dimension': 'depth', 'score': ((n + 533) % 101)::int}, {'dimension': 'reach', 'score': (1 + (n + 515) % 7)::int}], recursive := true) from o""",
         "typed_instances": f"""select type, count(*) as n, round(avg(least(greatest(confidence, 0), 1)), 6) as confidence
             from (select translate(trim(lower(type)), ' -', '__') as type, confidence from fig_instances)
             where type in ({', '.join(repr(t) for t in R.FIGURATIVE_TYPES)}) and not isnan(confidence) group by 1""",
