@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,28 +154,33 @@ def _blocks(table: DataFrame, key: str, most: int) -> Iterator[DataFrame]:
 
 
 class _Batch:
-    """Documents as flat arrays: the words of all sentences of all documents, hashed, and what is known of each."""
+    """Documents as flat arrays: the hashed words of all sentences of all documents, and what is known of each. Columns that a
+    pass has no use for may be missing."""
 
     def __init__(self, batch: pa.RecordBatch) -> None:
         column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         flat = lambda n, kind: column[n].flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
         sizes = lambda n: column[n].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        self.doc, self.n_docs, self.lang = column["doc"], batch.num_rows, column["lang"].to_numpy(zero_copy_only=False)
-        self.words, self.first = flat("words", np.int64).view(np.uint64), flat("first", bool)
-        self.length, self.n_sentences = flat("lengths", np.int64), sizes("lengths")
-        self.ends = np.cumsum(self.length)
-        self.sentence_doc = np.repeat(np.arange(self.n_docs), self.n_sentences)
-        self.word_sentence = np.repeat(np.arange(len(self.length)), self.length)
-        self.seed, self.is_seed = flat("seed", np.int64), column["seed"].is_valid().to_numpy(zero_copy_only=False)
-        self.seed_doc = np.repeat(np.arange(self.n_docs), sizes("seed"))
+        owner = lambda n: np.repeat(np.arange(batch.num_rows), sizes(n))
+        self.doc, self.n_docs = column["doc"], batch.num_rows
+        if "lang" in column:
+            self.lang = column["lang"].to_numpy(zero_copy_only=False)
+        if "words" in column:
+            self.words, self.length, self.n_sentences = flat("words", np.int64).view(np.uint64), flat("lengths", np.int64), sizes("lengths")
+            self.ends, self.sentence_doc = np.cumsum(self.length), owner("lengths")
+            self.word_sentence = np.repeat(np.arange(len(self.length)), self.length)
+            self.lift, self.best = np.zeros(len(self.length)), np.full(len(self.length), -1)
+        if "grams" in column:
+            self.grams, self.gram_doc = flat("grams", np.int64).view(np.uint64), owner("grams")
+            self.seed, self.seed_doc, self.is_seed = flat("seed", np.int64), owner("seed"), column["seed"].is_valid().to_numpy(zero_copy_only=False)
         self.votes = flat("votes", np.float64).reshape(self.n_docs, len(column["votes"].flatten()) // max(1, self.n_docs)) if "votes" in column else None
-        self.lift, self.best = (flat("lift", np.float64), flat("best", np.int64).copy()) if "lift" in column else (np.zeros(len(self.length)), np.full(len(self.length), -1))
+        if "best" in column:
+            self.lift, self.best = flat("lift", np.float64), flat("best", np.int64).copy()
 
     def vote(self, table: Words, n: int) -> None:
         """Add what the table's words pass on to the documents they occur in."""
-        grams, doc = self.words[self.first], self.sentence_doc[self.word_sentence[self.first]]
-        at, row = table.find(grams)
-        subject, weight, owner = table.votes(row, doc[at])
+        at, row = table.find(self.grams)
+        subject, weight, owner = table.votes(row, self.gram_doc[at])
         cast = np.bincount(owner * n + subject, weight, self.n_docs * n).reshape(self.n_docs, n)
         self.votes = cast if self.votes is None else self.votes + cast
 
@@ -277,21 +283,34 @@ def _word_sums(b: _Batch, n: int, least_share: float) -> tuple[list[np.ndarray],
     y, said = b.scores(n, least_share)
     lang = _language(b.lang)
     doc_of, subject = np.nonzero(np.where(said[:, None], y, 0.0))
+    part = y[doc_of, subject]
     own = np.bincount(doc_of, minlength=b.n_docs)
     start = np.cumsum(own) - own
-    doc = b.sentence_doc[b.word_sentence[b.first]]
-    grams, doc = b.words[b.first][said[doc]].view(np.int64), doc[said[doc]]
+    here = said[b.gram_doc]
+    doc = b.gram_doc[here]
+    grams, row = np.unique(b.grams[here].view(np.int64), return_inverse=True)
     k = own[doc]
     at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(start[doc], k)
+    langs, code = np.unique(lang, return_inverse=True)
     docs = np.flatnonzero(said)
+
+    def of(keys: np.ndarray, width: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums by keys row * width + column, as rows, columns and sums."""
+        if len(grams) * width <= 1 << 24:
+            total = np.bincount(keys, values, len(grams) * width)
+            found = np.flatnonzero(total)
+            return found // width, found % width, total[found]
+        (found,), total = _summed([keys], values)
+        return found // width, found % width, total
+
+    r, s, v = of(np.repeat(row, k) * n + subject[at], n, part[at])
+    q, c, w = of(row * len(langs) + code[doc], len(langs), np.ones(len(row)))
     parts = [
-        (OF_SUBJECT, np.repeat(grams, k), subject[at], y[doc_of[at], subject[at]]),
-        (OF_LANGUAGE, grams, lang[doc], np.ones(len(grams))),
-        (ALL_SUBJECTS, subject, lang[doc_of], y[doc_of, subject]),
-        (ALL_DOCUMENTS, np.zeros(len(docs), np.int64), lang[docs], np.ones(len(docs))),
+        (OF_SUBJECT, grams[r], s, v), (OF_LANGUAGE, grams[q], langs[c], w),
+        (ALL_SUBJECTS, subject, lang[doc_of], part), (ALL_DOCUMENTS, np.zeros(len(docs), np.int64), lang[docs], np.ones(len(docs))),
     ]
     kinds, keys, inner, values = zip(*[(np.full(len(v), kind), g, p, v) for kind, g, p, v in parts], strict=True)
-    return _summed([np.concatenate(kinds), np.concatenate(keys), np.concatenate(inner)], np.concatenate(values))
+    return [np.concatenate(kinds), np.concatenate(keys), np.concatenate(inner)], np.concatenate(values)
 
 
 def _verified(sums: pd.DataFrame, totals: pd.DataFrame, n: int, prior: float, least_lift: float) -> Words:
@@ -323,44 +342,53 @@ def _verified(sums: pd.DataFrame, totals: pd.DataFrame, n: int, prior: float, le
 
 
 class _Graph:
-    """The documents, and the words verified so far as blocks to broadcast."""
+    """The documents, the votes written down with them, and the words whose votes are still to be counted: with one block of
+    words these are counted in the pass that needs them, of several blocks all but the last are written down first."""
 
     def __init__(self, docs: DataFrame, n: int, least_share: float) -> None:
         self.docs, self.n, self.least_share, self.spark = docs, n, least_share, docs.sparkSession
+        self.voted, self.pending = docs, None
 
-    def verify(self, voted: DataFrame, prior: float, least: int, least_lift: float) -> Iterator[Words]:
+    def verify(self, prior: float, least: int, least_lift: float) -> Iterator[Words]:
         """One pass over the documents, one shuffle of sums; words in fewer than `least` documents are left out."""
-        n, least_share = self.n, self.least_share
+        n, least_share, pending = self.n, self.least_share, self.pending
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _combined(_word_sums(_Batch(b), n, least_share) for b in batches if b.num_rows)
+            yield from _combined(_word_sums(b, n, least_share) for b in _voted(batches, pending, n))
 
-        each = voted.mapInArrow(count, SUMS).groupBy("kind", "gram", "part").agg(F.sum("value").alias("value"))
+        columns = [c for c in ("doc", "lang", "grams", "seed", "votes") if c in self.voted.columns]
+        each = self.voted.select(*columns).mapInArrow(count, SUMS).groupBy("kind", "gram", "part").agg(F.sum("value").alias("value"))
         listed = each.groupBy((F.col("kind") >= ALL_SUBJECTS).alias("all"), F.when(F.col("kind") < ALL_SUBJECTS, F.col("gram")).alias("gram")).agg(
             F.collect_list(F.struct("kind", "gram", "part", "value")).alias("sums"), F.sum(F.when(F.col("kind") == OF_LANGUAGE, F.col("value"))).alias("n"),
         )
         kept = materialise(listed.where(F.col("all") | (F.col("n") >= least)))
         totals = kept.where("all").select(F.inline("sums")).toPandas().sort_values(["kind", "part"])
-        for block in _blocks(kept.where("not all"), "gram", MOST_WORDS):
-            yield _verified(block.select(F.inline("sums")).toPandas(), totals, n, prior, least_lift)
+        return (_verified(block.select(F.inline("sums")).toPandas(), totals, n, prior, least_lift) for block in _blocks(kept.where("not all"), "gram", MOST_WORDS))
 
-    def vote(self, tables: Iterator[Words]) -> DataFrame:
-        """The documents with the votes of all blocks; with several, each block's pass is written down ahead of the next."""
-        voted, n = self.docs, self.n
+    def vote(self, tables: Iterator[Words]) -> None:
+        """Let the words of all blocks vote anew."""
+        self.voted, self.pending, n = self.docs, None, self.n
         schema = T.StructType([*self.docs.schema.fields, T.StructField("votes", T.ArrayType(T.DoubleType()))])
-        for k, words in enumerate(tables):
-            table = broadcast_object(self.spark, words)
+        for words in tables:
+            if self.pending:
+
+                def cast(batches: Iterator[pa.RecordBatch], pending=self.pending) -> Iterator[pa.RecordBatch]:
+                    for batch in batches:
+                        for b in _voted([batch], pending, n):
+                            yield _with(batch.select([c for c in batch.schema.names if c != "votes"]), votes=_lists(b.votes.ravel(), np.full(b.n_docs, n)))
 
-            def cast(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-                known = broadcast_value(table)
-                for batch in batches:
-                    b = _Batch(batch)
-                    b.vote(known, n)
-                    kept = batch.select([c for c in batch.schema.names if c != "votes"])
-                    yield _with(kept, votes=_lists(b.votes.ravel(), np.full(b.n_docs, n)))
+                self.voted = materialise(self.voted.mapInArrow(cast, schema))
+            self.pending = broadcast_object(self.spark, words)
 
-            voted = (materialise(voted) if k else voted).mapInArrow(cast, schema)
-        return voted
+
+def _voted(batches: Iterator[pa.RecordBatch], pending: Broadcast | None, n: int) -> Iterator[_Batch]:
+    table = broadcast_value(pending) if pending else None
+    for batch in batches:
+        if batch.num_rows:
+            b = _Batch(batch)
+            if table:
+                b.vote(table, n)
+            yield b
 
 
 def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
@@ -382,10 +410,10 @@ def _passage_runs(passages: DataFrame, text: str, run: int) -> DataFrame:
 
 
 def hashed_documents(cut: DataFrame, seeds: DataFrame, passages: DataFrame, passage_text: str, run: int = 4) -> DataFrame:
-    """(doc, lang, words, lengths, first, seed): the hashed words of all sentences, the sentences' lengths, which words are the
-    first of their kind in the document, and its codes. Sentences that share `run` consecutive words with a passage are left out."""
+    """(doc, lang, words, lengths, grams, seed): the hashed words of all sentences, the sentences' lengths, the document's
+    different words, and its codes. Sentences that share `run` consecutive words with a passage are left out."""
     spark, kind = cut.sparkSession, cut.schema["doc"].dataType.simpleString()
-    schema = f"doc {kind}, lang string, words array<long>, lengths array<int>, first array<boolean>"
+    schema = f"doc {kind}, lang string, words array<long>, lengths array<int>, grams array<long>"
     known = materialise(_passage_runs(passages, passage_text, run))
     rows, plain = cut.select("doc", "lang", "sentences"), True
     for block in _blocks(known, "gram", 4 * MOST_WORDS):
@@ -411,11 +439,10 @@ def hashed_documents(cut: DataFrame, seeds: DataFrame, passages: DataFrame, pass
                 in_doc = np.bincount(doc, sizes, n).astype(np.int64)
                 order = np.lexsort((words, np.repeat(np.arange(n), in_doc)))
                 ordered, owner = words[order], np.repeat(np.arange(n), in_doc)
-                first = np.zeros(len(words), bool)
-                first[order] = np.concatenate([[True], (ordered[1:] != ordered[:-1]) | (owner[1:] != owner[:-1])])[: len(words)]
+                first = np.concatenate([[True], (ordered[1:] != ordered[:-1]) | (owner[1:] != owner[:-1])])[: len(words)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), _lists(words.view(np.int64), in_doc), _lists(sizes.astype(np.int32), np.bincount(doc, minlength=n)), _lists(first, in_doc)],
-                    ["doc", "lang", "words", "lengths", "first"],
+                    [batch.column(0), batch.column(1), _lists(words.view(np.int64), in_doc), _lists(sizes.astype(np.int32), np.bincount(doc, minlength=n)), _lists(ordered[first].view(np.int64), np.bincount(owner[first], minlength=n))],
+                    ["doc", "lang", "words", "lengths", "grams"],
                 )
 
         rows, plain = (rows if plain else materialise(rows)).mapInArrow(hashed, schema), False
@@ -430,12 +457,11 @@ def _seeds(labels: DataFrame, subjects: list[str]) -> DataFrame:
     return agreed.join(numbers, "subject", "left").groupBy("doc").agg(F.array_sort(F.collect_list("number")).alias("seed"))
 
 
-def propagate(graph: _Graph, rounds: int = 3, prior: float = 8.0, least: int = 3, least_lift: float = 2.0) -> tuple[DataFrame, list[Words]]:
-    """The documents with the votes of `rounds` rounds, and the words verified with them."""
-    voted = graph.docs
+def propagate(graph: _Graph, rounds: int = 3, prior: float = 8.0, least: int = 3, least_lift: float = 2.0) -> list[Words]:
+    """Words verified after `rounds` rounds; the graph's documents have the votes of the last round."""
     for _ in range(rounds):
-        voted = graph.vote(graph.verify(voted, prior, least, least_lift))
-    return voted, list(graph.verify(voted, prior, least, least_lift))
+        graph.vote(graph.verify(prior, least, least_lift))
+    return list(graph.verify(prior, least, least_lift))
 
 
 def subject_areas(
@@ -451,23 +477,24 @@ def subject_areas(
     if not own:
         return cut.select("doc", F.lit(none).alias("subject")).distinct()
     docs = materialise(hashed_documents(cut, _seeds(labels, own), passages, passage_text))
-    voted, words = propagate(_Graph(docs, n, least_share))
-    tables = [w.where((w.lift >= telling_lift) | (w.share >= CERTAIN)) for w in words]
-    schema = T.StructType([*voted.schema.fields, T.StructField("lift", T.ArrayType(T.DoubleType())), T.StructField("best", T.ArrayType(T.LongType()))])
-    marked = voted
-    for k, words_ in enumerate(tables):
-        table = broadcast_object(spark, words_)
-
-        def mark(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+    graph = _Graph(docs, n, least_share)
+    tables = [w.where((w.lift >= telling_lift) | (w.share >= CERTAIN)) for w in propagate(graph)]
+    marked, pending = graph.voted, graph.pending
+    kept = [f for f in docs.schema.fields if f.name in ("doc", "words", "lengths")]
+    added = [T.StructField("lift", T.ArrayType(T.DoubleType())), T.StructField("best", T.ArrayType(T.LongType()))]
+    for k, words in enumerate(tables):
+        table, last = broadcast_object(spark, words), k == len(tables) - 1
+
+        def mark(batches: Iterator[pa.RecordBatch], table=table, last=last, names=[f.name for f in kept]) -> Iterator[pa.RecordBatch]:
             known = broadcast_value(table)
             for batch in batches:
-                b = _Batch(batch)
-                b.mark(known, b.scores(n, least_share)[0])
-                kept = batch.select([c for c in batch.schema.names if c not in ("lift", "best")])
-                yield _with(kept, lift=_lists(b.lift, b.n_sentences), best=_lists(b.best, b.n_sentences))
+                for b in _voted([batch], pending, n):
+                    b.mark(known, b.scores(n, least_share)[0])
+                    rest = batch.select(names if last else [c for c in batch.schema.names if c not in ("lift", "best")])
+                    yield _with(rest, lift=_lists(b.lift, b.n_sentences), best=_lists(b.best, b.n_sentences))
 
-        marked = (materialise(marked) if k else marked).mapInArrow(mark, schema)
-    marked = materialise(marked.drop("first", "seed", "votes").withColumns({"first": F.array().cast("array<boolean>"), "seed": F.lit(None).cast("array<int>")}))
+        base = kept if last else [f for f in graph.voted.schema.fields if f.name not in ("lift", "best")]
+        marked = materialise(marked.mapInArrow(mark, T.StructType([*base, *added])))
     beside = materialise(_frames(marked, part, n).where((F.col("n") >= frame_sentences) & (F.col("agreeing") < frame_agreement * F.col("n"))).select("gram"))
     judged = marked
     for k, block in enumerate(_blocks(beside, "gram", MOST_WORDS)):
