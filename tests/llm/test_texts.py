@@ -253,9 +253,9 @@ def test_subjects(spark):
 
 
 def test_sentences(spark):
-    rows = spark.createDataFrame([(1, "[00:01] Interviewer: Well um, yes. No!\n- P05: (inaudible) Go on", "EN "), (2, None, None)], "doc_id long, text string, lang string")
+    rows = spark.createDataFrame([(1, "[00:01] Interviewer: Well <b>um</b>, yes. No!\n- P05: (inaudible) Go on (as we did in the autumn when the river came up)", "EN "), (2, None, None)], "doc_id long, text string, lang string")
     got = subjects.document_sentences(rows, "doc_id", "text", "lang").collect()
-    assert [(r.lang, r.sentences) for r in got] == [("en", ["well yes", "no", "go on"])]
+    assert [(r.lang, r.sentences) for r in got] == [("en", ["well um yes", "no", "go on as we did in the autumn when the river came up"])]
 
 
 def test_openings_without_stops():

@@ -37,8 +37,8 @@ CERTAIN = 0.6
 MOST_WORDS = 500_000
 #: Coded documents are broadcast up to this number, of some 40 bytes each, and joined by a shuffle beyond.
 MOST_SEEDS = 500_000
-#: Marks of transcription that are not part of what was said.
-NOISE = r"(?iu)\[[^\]]*\]|\([^)]*\)|<[^>]*>|\b(?:um|uh|er|you know)\b,?"
+#: Marks of transcription and markup that are not part of what was said; longer text in brackets is part of it.
+NOISE = r"\[[^\]\n]{0,40}\]|\([^)\n]{0,40}\)|</?[A-Za-z][^>\n]{0,200}>"
 SPEAKER = r"^\s*(?:-\s+)?\p{L}{1,12}\d{0,3}\s*:\s+"
 FULL_STOP = r"[.!?](\s|$)"
 
@@ -121,7 +121,7 @@ def _whole(ends: np.ndarray, n: int) -> np.ndarray:
     return at[at + n <= last[: len(at)]]
 
 def document_sentences(documents: DataFrame, doc: str, text: str, lang: str, share: float = 2e-5, least: int = 5) -> DataFrame:
-    """(doc, lang, sentences): the words of each sentence of every document with text, speakers and fillers removed.
+    """(doc, lang, sentences): the words of each sentence of every document with text, speakers and marks removed.
 
     Texts without punctuation are cut where a sentence opening learned from the others occurs. Null and blank texts give
     no row; texts without words have no sentences. Sentences are an array in the document's own row: no shuffle.
