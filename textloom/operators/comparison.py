@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors as V
+from textloom.plans.storage import materialise
 
 METRICS = {"euclidean": V.euclidean, "cosine": V.cosine_distance, "aitchison": V.aitchison}
 
@@ -31,15 +32,29 @@ def subset(rows: DataFrame, participants: Sequence[str], participant: str = "par
     return rows.withColumn("place", F.array_position(wanted, F.col(participant)) - 1).where("place >= 0")
 
 
+MOST_PARTICIPANTS = 5_000
+
+
+def bounded(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows, counted: as many as pairs may be made of, or an error."""
+    most = MOST_PARTICIPANTS if most is None else most
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"at most {most} participants")
+    return rows
+
+
 def distances(vectors: DataFrame, metric: str = "euclidean", key: str = "participant") -> DataFrame:
-    """(a, b, d) of every pair a < b. The pairs of a stated, small set of participants are the result itself."""
+    """(a, b, d) of every pair a < b. The pairs of a stated, small set of participants are the result itself; more than
+    MOST_PARTICIPANTS raise."""
+    vectors = bounded(vectors)
     left, right = vectors.select(F.col(key).alias("a"), F.col("v").alias("va")), vectors.select(F.col(key).alias("b"), F.col("v").alias("vb"))
     return left.join(right, F.col("a") < F.col("b")).select("a", "b", METRICS[metric](F.col("va"), F.col("vb")).alias("d"))
 
 
 def sample_distances(samples: DataFrame, n_dimensions: int, key: str = "participant", n_directions: int = 100, seed: int = 42) -> DataFrame:
     """(a, b, d) by the sliced Wasserstein distance between participants' centred log-ratio rows. samples: key, rows
-    (array of vectors, one per entity)."""
+    (array of vectors, one per entity). More than MOST_PARTICIPANTS raise."""
+    samples = bounded(samples)
     ways = V.random_directions(n_dimensions, n_directions, seed)
     logs = samples.select(key, F.transform("rows", V.clr).alias("rows"))
     left, right = logs.select(F.col(key).alias("a"), F.col("rows").alias("x")), logs.select(F.col(key).alias("b"), F.col("rows").alias("y"))
@@ -63,8 +78,9 @@ def excluded(vectors: DataFrame, groups: DataFrame) -> DataFrame:
 def group_distances(vectors: DataFrame, groups: DataFrame, metric: str = "euclidean") -> DataFrame:
     """Rows (kind, group_a, group_b, n_pairs, mean): kind within for each group (mean 0 for fewer than two members), between
     for each pair of groups. groups: (group, participant)."""
-    member = F.broadcast(groups.select("group", F.col("participant").alias("p")))
-    pairs = distances(vectors.join(groups.select("participant").distinct(), "participant", "left_semi"), metric)
+    grouped = bounded(materialise(vectors.join(groups.select("participant").distinct(), "participant", "left_semi")))
+    member = F.broadcast(groups.join(F.broadcast(grouped.select("participant")), "participant", "left_semi").select("group", F.col("participant").alias("p")))
+    pairs = distances(grouped, metric)
     named = pairs.join(member.select(F.col("p").alias("a"), F.col("group").alias("ga")), "a").join(member.select(F.col("p").alias("b"), F.col("group").alias("gb")), "b")
     within = named.where("ga = gb").groupBy(F.col("ga").alias("group_a")).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("d").alias("mean"))
     every = groups.select(F.col("group").alias("group_a")).distinct().join(within, "group_a", "left")
@@ -74,7 +90,7 @@ def group_distances(vectors: DataFrame, groups: DataFrame, metric: str = "euclid
 
 
 def group_centroids(vectors: DataFrame, groups: DataFrame, n: int) -> DataFrame:
-    joined = vectors.join(F.broadcast(groups), "participant")
+    joined = vectors.join(groups, "participant")
     return joined.groupBy("group").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(n)]).alias("v"))
 
 
@@ -85,9 +101,6 @@ def effect_size(stats: DataFrame) -> DataFrame:
     return stats.agg(F.when(within > 0, between / within).alias("effect_size"))
 
 
-MOST_PARTICIPANTS = 5_000
-
-
 def permutation_test(vectors: DataFrame, groups: DataFrame, metric: str = "euclidean", n: int = 1000, seed: int = 42) -> DataFrame:
     """One row: observed effect size, p (share of shuffles at least as large, no correction), n, mean and sd of the shuffled
     effects. Shuffles come from one legacy seeded generator and run in parallel tasks."""
@@ -138,7 +151,7 @@ def aligned(scores: DataFrame, fill: float = 0.0) -> DataFrame:
     """Every participant with every entity and dimension: score or `fill`, and whether it was there. Participants are a small
     list, so theirs is the broadcast side."""
     cells = scores.select("entity", "dimension").distinct()
-    people = F.broadcast(scores.select("participant").distinct())
+    people = F.broadcast(bounded(materialise(scores.select("participant").distinct())))
     full = cells.join(people).join(scores.groupBy("participant", "entity", "dimension").agg(F.avg("score").alias("score")), ["participant", "entity", "dimension"], "left")
     return full.select("participant", "entity", "dimension", F.coalesce("score", F.lit(fill)).alias("score"), F.col("score").isNotNull().alias("present"))
 

@@ -25,27 +25,29 @@ def context_points(rows: DataFrame, key: str, order: str, points: str, each: int
     return rows.withColumn("context_points", F.when(F.size(flat) > last, F.slice(flat, F.size(flat) - last + 1, last)).otherwise(flat))
 
 
+def merge_entities(parts: list[list[str]]) -> list[str]:
+    """Entities of all parts in order, each in its first spelling whatever the case; blank ones are left out."""
+    seen: dict[str, str] = {}
+    for part in parts:
+        for e in part:
+            if e and e.strip():
+                seen.setdefault(e.strip().lower(), e.strip())
+    return list(seen.values())
+
+
 def carry_entities(rows: DataFrame, key: str, order: str, entities: str, n: int = 5) -> DataFrame:
     """Add `carried`: what earlier windows of the text hand on. A window's own and carried entities, merged, count as its
     entities for the next windows, so the carry is recursive: a text's windows run in order in one task."""
     schema = f"{rows.drop('carried').schema.simpleString()[7:-1]},carried:array<string>"
 
-    def merged(parts: list[list[str]]) -> list[str]:
-        seen: dict[str, str] = {}
-        for part in parts:
-            for e in part:
-                if e and e.strip():
-                    seen.setdefault(e.strip().lower(), e.strip())
-        return list(seen.values())
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
         held: list[list[str]] = []
         carried = []
         for own in pdf[entities]:
-            before = merged(held)
+            before = merge_entities(held)
             carried.append(before)
-            held = [*held, merged([list(own) if own is not None else [], before])][-n:]
+            held = [*held, merge_entities([list(own) if own is not None else [], before])][-n:]
         return pdf.assign(carried=carried)
 
     return rows.groupBy(key).applyInPandas(run, schema.replace(":", " "))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.plans.storage import materialise
+
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join rows to a table with one row per key.
@@ -29,6 +31,19 @@ def join_checked(rows: DataFrame, groups: DataFrame, keys: Sequence[str], most:
     return join_groups(rows, groups, keys, how)
 
 
+def running_total(rows: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+    """Add the sum of `value` over the rows ahead in each key, by the order column; 0 for the first. Rows of a key are spread
+    over tasks by ranges of the order column, so not even three keys that hold all rows gather in three tasks: what comes ahead
+    of a range is told by sums per key and range. Equal order values within a key aren't allowed; null keys neither."""
+    placed = materialise(rows.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()))
+    sums = placed.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
+    ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_range", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return local.join(offsets, [*keys, "_range"]).withColumn(name, F.col("_ahead") + F.col("_within")).drop("_range", "_ahead", "_within")
+
+
 def rank_within(rows: DataFrame, key: str, order: Sequence[str], name: str, slice_rows: int = 500_000, most_keys: int = 200_000) -> DataFrame:
     """Add a dense zero-based row number within each key, without bringing a key's rows into one task.
 

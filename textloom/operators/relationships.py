@@ -65,18 +65,20 @@ def merge(rows: DataFrame, entities: DataFrame | None = None, types: DataFrame |
         for side in ("os", "ot", "oy"):
             m = join_groups(m, similar.select(F.col("raw").alias(side), F.col("similarity").alias(f"sim_{side}")), [side], "left")
         confidence = F.least(*[F.coalesce(f"sim_{side}", F.lit(1.0)) for side in ("os", "ot", "oy")])
-    words = F.when(F.col("description") != "", F.struct("seq", F.col("description").alias("value")))
-    grouped = m.withColumn("confidence", confidence).groupBy(F.lower("source").alias("s"), F.lower("type").alias("y"), F.lower("target").alias("t")).agg(
+    key = [F.lower("source").alias("s"), F.lower("type").alias("y"), F.lower("target").alias("t")]
+    said = m.where("description <> ''").groupBy(*key, "description").agg(F.min("seq").alias("seq"))
+    listed = said.groupBy("s", "y", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "description"))), lambda x: x["description"]).alias("descriptions"))
+    grouped = m.withColumn("confidence", confidence).groupBy(*key).agg(
         _first(F.col("source")).alias("source"), _first(F.col("type")).alias("type"), _first(F.col("target")).alias("target"),
         F.array_join(F.array_sort(F.collect_set("os")), "; ").alias("original_source"),
         F.array_join(F.array_sort(F.collect_set("ot")), "; ").alias("original_target"),
         F.array_join(F.array_sort(F.collect_set("oy")), "; ").alias("original_type"),
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(words)), lambda x: x["value"])).alias("descriptions"),
         F.array_sort(F.collect_set("window_index")).alias("window_indices"),
         F.array_sort(F.collect_set(F.nullif("text_id", F.lit("")))).alias("text_ids"),
         F.count(F.lit(1)).alias("count"), F.round(_first(F.col("confidence")), 3).alias("confidence"), F.min("seq").alias("seq"),
     )
-    return grouped.drop("s", "y", "t").withColumn("description", F.coalesce(F.get("descriptions", F.lit(0)), F.lit("")))
+    whole = grouped.join(listed, ["s", "y", "t"], "left").withColumn("descriptions", F.coalesce("descriptions", F.array().cast("array<string>")))
+    return whole.drop("s", "y", "t").withColumn("description", F.coalesce(F.get("descriptions", F.lit(0)), F.lit("")))
 
 
 def graph_rows(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.vectors import scale_fraction
+from textloom.operators.keyed import join_groups, running_total
 
 # 97.5 % quantiles of Student's t for 1 to 30 degrees of freedom.
 T_975 = [
@@ -143,17 +144,22 @@ def bin_shares(values: DataFrame, keys: Sequence[str], value: str, bins: int = 5
 
 
 def average_rank(values: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
-    """Rank from 1 within each key, ties share the mean of their ranks."""
-    ordered = Window.partitionBy(*keys).orderBy(value)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return values.withColumn(name, F.rank().over(ordered) + (ties - 1) / 2)
+    """Rank from 1 within each key, ties share the mean of their ranks; null values and rows with a null key have none.
+
+    Rows shrink to distinct values, whose counts are summed up range by range; rows meet their value's rank in a join that
+    splits hot keys."""
+    known = values.where(" and ".join(f"`{c}` is not null" for c in (*keys, value)))
+    counts = running_total(known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), keys, value, "_c", "_below")
+    ranks = counts.select(*keys, value, (F.col("_below") + (F.col("_c") + 1) / 2).alias(name))
+    return join_groups(values.drop(name), ranks, [*keys, value], "left")
 
 
 def empirical_cdf(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values per key with the share of rows up to them. Rows shrink to distinct values before any window."""
-    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(*keys, value, (F.sum("c").over(upto) / F.sum("c").over(Window.partitionBy(*keys))).alias("cdf"))
+    known = values.where(" and ".join(f"`{c}` is not null" for c in (*keys, value)))
+    counts = running_total(known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c")), keys, value, "c", "_below")
+    whole = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return join_groups(counts, whole, keys).select(*keys, value, ((F.col("_below") + F.col("c")) / F.col("_n")).alias("cdf"))
 
 
 def pareto_frontier(points: DataFrame, keys: Sequence[str], cost: str, quality: str) -> DataFrame:

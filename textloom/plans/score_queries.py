@@ -50,7 +50,7 @@ def run_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 def run_means(spark: SparkSession, folder: str) -> DataFrame:
     s = S.run_statistics(_long(spark, folder), ["dimension", "participant"], 0, 100)
-    return _rounded(s.select("dimension", "participant", "n", "mean", "std", "ci_low", "ci_high"), 1)
+    return s.select("dimension", "participant", "n", "mean", "median", "std", "ci_low", "ci_high", "cv")
 
 
 def justifications(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,7 +132,7 @@ def variant_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wilcoxon(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(S.wilcoxon(_pairs(spark, folder), ["k"], "base", "variant").select("k", "n", "w", "z", "r"), 5)
+    return _rounded(S.wilcoxon(_pairs(spark, folder), ["k"], "base", "variant"), 5)
 
 
 def friedman(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,7 +253,7 @@ def aligned_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def ellipses(spark: SparkSession, folder: str) -> DataFrame:
     v = _centroids(spark, folder).join(_groups(spark, folder), "participant")
-    return _rounded(C.confidence_ellipse(v, ["group"], F.col("v")[0], F.col("v")[1]), 4).drop("angle")
+    return _rounded(C.confidence_ellipse(v, ["group"], F.col("v")[0], F.col("v")[1]), 4)
 
 
 def participant_clusters(spark: SparkSession, folder: str) -> DataFrame:
@@ -341,9 +341,10 @@ def oracle_sql() -> dict[str, str]:
         "run_statistics": """with c as (select l_orderkey as entity, l_quantity as score, count(*) as times from lineitem group by 1, 2), m as (select *, max(times) over (partition by entity) as most from c),
             mode as (select entity, round(quantile_cont(score, 0.5), 2) as mode from m where times = most group by 1)
             select l_orderkey as entity, count(*) as n, round(quantile_cont(l_quantity, 0.5), 2) as median, any_value(mode.mode) as mode from lineitem join mode on entity = l_orderkey group by 1""",
-        "run_means": f"""with {_LONG}, s as (select dimension, participant, count(*) as n, avg(score) as mean, coalesce(stddev_samp(score), 0) as std, 1.959963984540054 as z from long group by 1, 2),
+        "run_means": f"""with {_LONG}, s as (select dimension, participant, count(*) as n, avg(score) as mean, quantile_cont(score, 0.5) as median, coalesce(stddev_samp(score), 0) as std, 1.959963984540054::double as z from long group by 1, 2),
             c as (select *, case when n > 1 then ({tq}) * std / sqrt(n) else 0 end as margin from s)
-            select dimension, participant, n, round(round(mean, 2), 1) as mean, round(round(std, 2), 1) as std, round(round(greatest(0, mean - margin), 2), 1) as ci_low, round(round(least(100, mean + margin), 2), 1) as ci_high from c""",
+            select dimension, participant, n, """ + ", ".join(f"round(({x})::decimal(30, 13), 2)::double as {name}" for name, x in (("mean", "mean"), ("median", "median"), ("std", "std"), ("ci_low", "greatest(0, mean - margin)"), ("ci_high", "least(100, mean + margin)")))
+            + ", round((case when mean > 0 then std / mean else 0 end)::decimal(30, 13), 4)::double as cv from c",
         "justifications": """with e as (select user_id, event_id, event_type, abs(value - avg(value) over (partition by user_id)) as d from events)
             select user_id, coalesce(arg_min(event_type, (d, event_id)) filter (where event_type <> 'view'), '') as justification from e group by 1""",
         "dataset_statistics": f"""with {_LONG}, m as (select dimension, entity, avg(score) as mean from long group by 1, 2) select dimension, count(*) as n, round(avg(mean), 6) as mean, round(quantile_cont(mean, 0.5), 6) as median,
@@ -370,8 +371,9 @@ def oracle_sql() -> dict[str, str]:
             round(corr(base, variant), 9) as pearson, any_value(round(rho, 9)) as spearman, any_value(round(ks.ks, 9)) as ks from pairs join (select k, corr(x, y) as rho from r group by 1) using (k) join ks using (k) group by 1""",
         "wilcoxon": f"""with {_PAIRS}, d as (select k, base - variant as d, abs(base - variant) as a from pairs where base <> variant), r as (select *, {ranks.format(k='k', v='a')} as r from d),
             ties as (select k, sum(c ** 3 - c) as ties from (select k, a, count(*) as c from d group by 1, 2) group by 1), s as (select k, count(*) as n, sum(case when d > 0 then r else 0 end) as up, sum(r) as total from r group by 1),
-            w as (select k, n, least(up, total - up) as w, ties from s join ties using (k))
-            select k, n, w, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 5) as z, round(1 - 2 * w / (n * (n + 1) / 2), 5) as r from w""",
+            w as (select k, n, least(up, total - up) as w, ties from s join ties using (k)),
+            zs as (select *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) as z from w), ts as (select *, 1 / (1 + 0.2316419 * abs(z)) as t from zs)
+            select k, n, w, round(z, 5) as z, round(2 * exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))), 5) as p, round(1 - 2 * w / (n * (n + 1) / 2), 5) as r from ts""",
         "friedman": f"""with q as (select l_suppkey, l_returnflag, round(avg(l_quantity), 2) as q from lineitem group by 1, 2), w as (select *, count(*) over (partition by l_suppkey) as c from q), r as (select *, {ranks.format(k='l_suppkey', v='q')} as r from w where c = 3),
             s as (select l_returnflag, sum(r) as s, count(*) as b from r group by 1), ties as (select sum(c ** 3 - c) as t from (select count(*) as c from r group by l_suppkey, q))
             select any_value(b)::bigint as blocks, 3 as treatments, round((12 * sum(s * s) / (any_value(b) * 12) - 12 * any_value(b)) / (1 - any_value(t) / (any_value(b) * 24)), 4) as statistic, 2 as df from s, ties""",
@@ -398,7 +400,8 @@ def oracle_sql() -> dict[str, str]:
         "aligned_scores": f"""with {_CENTROIDS}, s as (select "group" as participant, entity, dimension, avg(score) as score from long join gr using (participant) group by all), cells as (select distinct entity, dimension from s), p as (select distinct participant from s)
             select p.participant, c.dimension, count(*) as cells, count(s.score) as present, round(avg(coalesce(s.score, 0)), 6) as mean from cells c cross join p left join s on s.participant = p.participant and s.entity = c.entity and s.dimension = c.dimension group by 1, 2""",
         "ellipses": f"""with {_CENTROIDS}, s as (select "group", avg(q) as cx, avg(d) as cy, var_samp(q) as a, var_samp(d) as b, covar_samp(q, d) as c, count(*) as n from c join gr using (participant) group by 1)
-            select "group", round(cx, 4) as cx, round(cy, 4) as cy, round(sqrt(5.991 * ((a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c ** 2))), 4) as major, round(sqrt(5.991 * greatest(0, (a + b) / 2 - sqrt(((a - b) / 2) ** 2 + c ** 2))), 4) as minor from s where n > 1""",
+            select "group", round(cx, 4) as cx, round(cy, 4) as cy, round(sqrt(5.991 * ((a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c ** 2))), 4) as major, round(sqrt(5.991 * greatest(0, (a + b) / 2 - sqrt(((a - b) / 2) ** 2 + c ** 2))), 4) as minor,
+                round(degrees(atan2((a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c ** 2) - a, c)), 4) as angle from s where n > 1""",
         "beta_observations": f"""with {_LONG}, y as (select *, least(greatest((least(greatest(score / 60, 0), 1) * (n - 1) + 0.5) / n, 1e-6), 1 - 1e-6) as y from (select *, count(*) over (partition by dimension) as n from long))
             select dimension, participant, count(*) as n, round(avg(y), 6) as mean_y, round(min(y), 6) as min_y from y group by 1, 2""",
         "posterior_hdi": f"""with {_DRAWS}, r as (select idx, value, row_number() over (partition by idx order by value) as r, count(*) over (partition by idx) as n from draws),

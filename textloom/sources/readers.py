@@ -22,11 +22,27 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pick_columns(columns: Sequence[str], text: str | None = None, key: str | None = None) -> tuple[str, str | None]:
-    """Names of the text and id columns: as asked for, else the first known name. Raises if there is no text column."""
+    """Names of the text and id columns: as asked for, else the first known name. Raises if there is no text column, or no
+    column of the name asked for as id."""
+    if key is not None and key not in columns:
+        raise ValueError(f"no column {key} in {list(columns)}")
     chosen = text if text in columns else next((c for c in TEXT_COLUMNS if c in columns), None)
     if chosen is None:
         raise ValueError(f"no text column in {list(columns)}")
-    return chosen, key if key in columns else next((c for c in ID_COLUMNS if c in columns), None)
+    return chosen, key or next((c for c in ID_COLUMNS if c in columns), None)
+
+
+def row_numbers(rows: DataFrame, name: str) -> DataFrame:
+    """Add 1-based row numbers in file order as strings. The driver sees one count per partition; rows stay in the JVM."""
+    number = F.monotonically_increasing_id()
+    placed = rows.withColumns({"_part": F.shiftright(number, 33).cast("int"), "_at": number.bitwiseAND((1 << 33) - 1)})
+    counts = {r["_part"]: r.n for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    offsets, ahead = [], 0
+    for part in range(max(counts, default=0) + 1):
+        offsets.append(ahead)
+        ahead += counts.get(part, 0)
+    start = F.get(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_part"))
+    return placed.withColumn(name, (start + F.col("_at") + 1).cast("string")).drop("_part", "_at")
 
 
 def texts(spark: SparkSession, path: str, text: str | None = None, key: str | None = None, group: str | None = None, limit: int | None = None) -> DataFrame:
@@ -35,8 +51,7 @@ def texts(spark: SparkSession, path: str, text: str | None = None, key: str | No
     rows = csv(spark, path)
     t, k = pick_columns(rows.columns, text, key)
     if k is None:
-        schema = rows.schema.add("_row", "string")
-        rows = spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], str(x[1] + 1))), schema)
+        rows = row_numbers(rows, "_row")
     out = rows.select(F.col(k or "_row").alias("text_id"), F.coalesce(F.col(t), F.lit("")).alias("text"), (F.col(group) if group in rows.columns else F.lit(None).cast("string")).alias("group"))
     return out.limit(limit) if limit else out
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textloom.functions.windowing import explode_windows
+from textloom.operators.context import merge_entities
 
 
 def text_stream(spark: SparkSession, folder: str, schema: str = "text_id string, text string, at timestamp", files_per_batch: int = 100) -> DataFrame:
@@ -39,16 +40,9 @@ def carried_entities(rows: DataFrame, n: int = 5, timeout_ms: int | None = 3_600
         rows = pd.concat(list(batches)).sort_values("window_index", kind="stable")
         out = []
         for r in rows.itertuples():
-            known: dict[str, str] = {}
-            for part in held:
-                for e in part:
-                    known.setdefault(e.lower(), e)
-            before = list(known.values())
+            before = merge_entities(held)
             out.append((key[0], int(r.window_index), before))
-            for e in r.entities if r.entities is not None else []:
-                if e and e.strip():
-                    known.setdefault(e.strip().lower(), e.strip())
-            held = [*held, list(known.values())][-n:]
+            held = [*held, merge_entities([list(r.entities) if r.entities is not None else [], before])][-n:]
         state.update((held,))
         if timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
