@@ -150,6 +150,25 @@ def _domains(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
+def alignment_counts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "fig_instances").select("alignment_status", "start_char")
+    return figurative.alignment_counts(rows, rows.where("start_char is not null"))
+
+
+def domain_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Domains at the broad level: some rows have a blank one, some none, and fall back to their own."""
+    rows = _domains(spark, folder).where("source_domain <> ''")
+    levels = F.when(F.col("seq") % 3 == 0, F.create_map(F.lit("broad"), F.upper("source_domain"))).when(F.col("seq") % 3 == 1, F.create_map(F.lit("broad"), F.lit(" "))).otherwise(F.create_map(F.lit("narrow"), F.col("source_domain")))
+    return rows.select("seq", figurative.domain_at(levels, "broad", F.col("source_domain")).alias("domain"))
+
+
+def node_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty nodes of the highest degree, as a picture would name them."""
+    rows = R.graph_rows(_rows(spark, folder))
+    nodes = R.nodes(rows).join(graphs.degrees(R.edges(rows)), "id")
+    return R.labelled(nodes, "top:20")
+
+
 def domain_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return figurative.domain_nodes(_domains(spark, folder))
 
@@ -205,7 +224,7 @@ def queries() -> dict:
     found = [
         label_counts, merged_relationships, graph_nodes, graph_edges, graph_filtered, graph_degrees, graph_density, graph_pagerank, graph_components, graph_betweenness, relationship_betweenness, causal_majority,
         causal_statistics, verified_relationships, verification_statistics, verification_batches, mapped_labels, unfinished_windows, seed_lists, domain_nodes, domain_edges, aligned_instances,
-        canonical_instances, detection_summaries, similar_types, type_clusters, embedding_pairs, nearest_vectors,
+        canonical_instances, alignment_counts, domain_levels, node_labels, detection_summaries, similar_types, type_clusters, embedding_pairs, nearest_vectors,
     ]
     return {f.__name__: f for f in found}
 
@@ -301,6 +320,9 @@ ends as (select source as id, source as label, seq, 0 as n, text_id from r union
         "verification_batches": _REL + "select text_id, ceil(count(*) / 20)::bigint as batches, (ceil(count(*) / 20) - 1)::int as last from rels where text_id is not null group by 1",
         "mapped_labels": """select case when n_nationkey % 5 <> 0 then r_name else n_name end as place, count(*) as customers from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1""",
         "unfinished_windows": "select window_id, text_id, window_index from rel_windows w where not exists (select 1 from relationships r where r.text_id = w.text_id and r.window_index = w.window_index)",
+        "alignment_counts": "select count(*) as raw, count(start_char) as canonical, " + ", ".join(f"count(*) filter (where start_char is not null and alignment_status = '{s}') as {s}" for s in ("exact", "normalized_exact", "ambiguous", "missing", "approximate")) + ", count(*) - count(start_char) as deduplicated from fig_instances",
+        "domain_levels": domains + "select seq, case when seq % 3 = 0 then upper(source) else source end as domain from d where source <> ''",
+        "node_labels": _REL + ", p as (select distinct source, target from e), x as (select source as id from p union all select target from p), g2 as (select id, count(*) as degree from x group by 1) select id, label from n join g2 using (id) order by degree desc, id limit 20",
         "domain_edges": domains + """, ex as (select source, target, string_agg(instance_text, '|' order by seq, instance_text) as examples from
                 (select * from (select distinct source, target, seq, instance_text from r) qualify row_number() over (partition by source, target order by seq, instance_text) <= 5) group by 1, 2)
             select r.source, r.target, count(*) as weight, count(distinct text_id) as text_count, array_to_string(list_sort(list(distinct type) filter (where type is not null)), '|') as types, any_value(examples) as examples

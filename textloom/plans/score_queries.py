@@ -256,6 +256,23 @@ def ellipses(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(C.confidence_ellipse(v, ["group"], F.col("v")[0], F.col("v")[1]), 4)
 
 
+def shrinkage(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts' raw means, and the same drawn half way to a fixed score."""
+    raw = _long(spark, folder).groupBy("dimension", "entity").agg(F.avg("score").alias("raw_mean"))
+    return _rounded(B.shrinkage(raw, raw.select("dimension", "entity", (F.col("raw_mean") / 2 + 12).alias("mean"))), 5)
+
+
+def bayes_factors(spark: SparkSession, folder: str) -> DataFrame:
+    """Differences of line quantities from a reference, by return flag; flags stand for pairs of groups."""
+    rows = table(spark, folder, "lineitem").select("l_returnflag", ((F.col("l_quantity") - 20) / 10).alias("value"))
+    return _rounded(B.bayes_factor(rows, ["l_returnflag"], 1.0), 5)
+
+
+def quality_indices(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "lineitem")
+    return rows.groupBy("l_linenumber").agg(F.round(S.quality_index(rows, "l_discount", "l_tax"), 6).alias("quality")).toDF("k", "quality")
+
+
 def participant_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return K.hierarchical(C.distances(materialise(_centroids(spark, folder))), most_k=6).select("participant", "label")
 
@@ -313,7 +330,7 @@ def queries() -> dict:
         run_statistics, run_means, justifications, dataset_statistics, primary_dimensions, wide_scores, descriptives, reliability, resolution, quintiles, average_ranks, empirical_cdf, pareto_frontier, spearman,
         variant_metrics, wilcoxon, friedman, holm, interaction, alpha_runs, alpha_participants, alpha_sample_variance, alpha_interval, mean_interval, participant_centroids, participant_distances, cosine_distances,
         aitchison_distances, log_ratios, ternary_points, distance_summary, group_distances, group_effect, group_centroids, permutation_test, sample_distances, common_parts, aligned_scores, ellipses,
-        participant_clusters, participant_kmeans, principal_components, similarity_map, beta_observations, posterior_draws, posterior_hdi, posterior_contrasts, posterior_rhat,
+        shrinkage, bayes_factors, quality_indices, participant_clusters, participant_kmeans, principal_components, similarity_map, beta_observations, posterior_draws, posterior_hdi, posterior_contrasts, posterior_rhat,
     ]
     return {f.__name__: f for f in found}
 
@@ -402,6 +419,15 @@ def oracle_sql() -> dict[str, str]:
         "ellipses": f"""with {_CENTROIDS}, s as (select "group", avg(q) as cx, avg(d) as cy, var_samp(q) as a, var_samp(d) as b, covar_samp(q, d) as c, count(*) as n from c join gr using (participant) group by 1)
             select "group", round(cx, 4) as cx, round(cy, 4) as cy, round(sqrt(5.991 * ((a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c ** 2))), 4) as major, round(sqrt(5.991 * greatest(0, (a + b) / 2 - sqrt(((a - b) / 2) ** 2 + c ** 2))), 4) as minor,
                 round(degrees(atan2((a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c ** 2) - a, c)), 4) as angle from s where n > 1""",
+        "shrinkage": f"""with {_LONG}, r as (select dimension, entity, avg(score) as raw_mean from long group by 1, 2), g as (select *, raw_mean / 2 + 12 as mean, avg(raw_mean) over (partition by dimension) as grand from r)
+            select dimension, entity, round(raw_mean, 5) as raw_mean, round(mean, 5) as mean, round(grand, 5) as grand,
+                round(case when abs(raw_mean - grand) <= 1 then 0 else least(greatest(100 * (1 - abs(mean - grand) / abs(raw_mean - grand)), 0), 100) end, 5) as shrinkage_pct from g""",
+        "bayes_factors": """with d as (select l_returnflag, (l_quantity - 20) / 10 as v from lineitem), h as (select l_returnflag, stddev_samp(v) * pow(count(*), -0.2) as h from d group by 1),
+            p as (select l_returnflag, avg(exp(-(v / h) * (v / h) / 2) / (h * sqrt(2 * pi()))) as post from d join h using (l_returnflag) group by 1), b as (select l_returnflag, 1 / sqrt(2 * pi()) / post as bf from p)
+            select l_returnflag, round(bf, 5) as bf10, case when bf >= 100 then 'extreme evidence for H1 (groups differ)' when bf >= 30 then 'very strong evidence for H1' when bf >= 10 then 'strong evidence for H1' when bf >= 3 then 'moderate evidence for H1'
+                when bf >= 1 then 'anecdotal evidence for H1' when bf >= 1 / 3 then 'anecdotal evidence for H0 (no difference)' when bf >= 1 / 10 then 'moderate evidence for H0' when bf >= 1 / 30 then 'strong evidence for H0'
+                when bf >= 1 / 100 then 'very strong evidence for H0' else 'extreme evidence for H0' end as interpretation from b""",
+        "quality_indices": "select l_linenumber as k, round(sqrt(greatest(avg(l_discount) * avg(l_tax), 0)), 6) as quality from lineitem group by 1",
         "beta_observations": f"""with {_LONG}, y as (select *, least(greatest((least(greatest(score / 60, 0), 1) * (n - 1) + 0.5) / n, 1e-6), 1 - 1e-6) as y from (select *, count(*) over (partition by dimension) as n from long))
             select dimension, participant, count(*) as n, round(avg(y), 6) as mean_y, round(min(y), 6) as min_y from y group by 1, 2""",
         "posterior_hdi": f"""with {_DRAWS}, r as (select idx, value, row_number() over (partition by idx order by value) as r, count(*) over (partition by idx) as n from draws),

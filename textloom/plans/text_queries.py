@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import rules as R
 from textloom.functions.tokens import explode_token_windows
-from textloom.functions.vectors import scale_fraction
+from textloom.functions.vectors import inverse_logit, marker_size, scale_fraction
 from textloom.functions.windowing import explode_windows, sentences
 from textloom.operators import context as C
 from textloom.operators import decisions as D
@@ -184,6 +184,26 @@ with s as (
 """
 
 
+def top_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most frequent decisions."""
+    return D.top(valid_decisions(spark, folder), "count", "decision", 10).select("decision", "count")
+
+
+def attached_factors(spark: SparkSession, folder: str) -> DataFrame:
+    """Factors that name their decision in other case and with blanks around it."""
+    f = _factors(spark, folder).select("text_id", F.concat(F.lit(" "), F.upper("decision")).alias("decision_text"), "factor")
+    d = _sentences(spark, folder).select("text_id", R.strip_causes(F.col("decision")).alias("decision")).distinct()
+    return D.attach_factors(d, f).groupBy("text_id", "decision").agg(F.count(F.lit(1)).alias("factors"))
+
+
+def safe_names(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select("c_custkey", R.safe_id(F.concat_ws("/", "c_name", "c_mktsegment")).alias("name"))
+
+
+def marker_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.round(marker_size(F.col("l_quantity") / 40), 6).alias("size"), F.round(inverse_logit(F.col("l_quantity") / 10 - 2, 1, 7), 6).alias("scaled"))
+
+
 def mapped_domains(spark: SparkSession, folder: str) -> DataFrame:
     """Source and target domains by the default provider."""
     from textloom.plans.pipelines import figurative_map
@@ -205,7 +225,7 @@ def queries() -> dict:
     found = [
         window_counts, token_windows, sentence_windows, decision_windows, sentence_counts, prior_summaries, context_points, carried_entities, entity_contexts, context_truncated,
         sentence_with_entity, typed_instances, score_fractions, match_keys, reply_objects, valid_runs, valid_decisions, first_decisions, factor_polarity, decision_totals,
-        decision_factor_rows, fallback_summaries, rule_annotations, recorded_annotations, mapped_domains, rule_scores,
+        decision_factor_rows, fallback_summaries, rule_annotations, recorded_annotations, mapped_domains, rule_scores, top_decisions, attached_factors, safe_names, marker_sizes,
     ]
     return {f.__name__: f for f in found}
 
@@ -267,6 +287,10 @@ cleaned as (select text_id, seq, decision from stripped where len(regexp_split_t
             ) select key, count(*) as n from k group by 1""",
         "recorded_annotations": """with a as (select item_id, coalesce(text, '') as p, answer from eval_items), r as (select p, any_value(answer) as answer from a where item_id % 2 = 0 group by 1), f as (select a.item_id, r.p is null as missing, r.answer from a left join r using (p))
             select case when missing then 'not recorded' end as error, count(*) as n, count(answer) as summaries from f group by 1""",
+        "top_decisions": f"with {cleaned} select decision, count(*) as count from cleaned group by 1 order by 2 desc, 1 limit 10",
+        "attached_factors": f"""with {cleaned}{factors} select s.text_id, s.decision, count(*) as factors from (select distinct text_id, decision from stripped) s join factors f on f.text_id = s.text_id and lower(f.decision) = lower(s.decision) group by 1, 2""",
+        "safe_names": r"select c_custkey, regexp_replace(c_name || '/' || c_mktsegment, '[^\p{L}\p{N}]', '_', 'g') as name from customer",
+        "marker_sizes": "select l_orderkey, l_linenumber, round(100 * (0.15::double + 2.35::double * least(greatest(l_quantity / 40, 0), 1)), 6) as size, round(1 + 6 / (1 + exp(-(l_quantity / 10 - 2))), 6) as scaled from lineitem",
         "mapped_domains": r"""with w as (select instance_id, list_filter(regexp_extract_all(lower(split_part(instance_text, chr(10), 1)), '\p{L}+'), lambda x: x not in ('a', 'an', 'the')) as w from fig_instances where instance_text is not null)
             select instance_id, case when len(w) > 1 then w[-1] else '' end as source_domain, case when len(w) > 1 then w[1] else '' end as target_domain, case when len(w) > 1 then 0.6 else 0.3 end::double as domain_confidence from w""",
         "rule_scores": """with e as (select c_custkey::varchar as text_id, unnest([1, 2, 3]) as run, c_name || chr(10) || c_mktsegment || chr(10) as t from customer),
