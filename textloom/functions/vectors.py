@@ -114,6 +114,53 @@ def scale_fraction(value: Column, low: Column | float, high: Column | float, cla
     return F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))) if clamp else raw
 
 
+def transport(cost, supply, demand) -> float:
+    """The least total cost of bringing whole units from rows to columns, as many as both have in all (successive shortest
+    paths under prices that keep all reduced costs from below zero)."""
+    import numpy as np
+
+    cost, left, need = np.asarray(cost, float), np.array(supply, np.int64), np.array(demand, np.int64)
+    n, m = cost.shape
+    flow, row_price, column_price = np.zeros((n, m), np.int64), np.zeros(n), np.zeros(m)
+    column_price = cost.min(0) if n else column_price
+    while left.any():
+        dist = np.concatenate([np.where(left > 0, 0.0, np.inf), np.full(m, np.inf)])
+        before, done = np.full(n + m, -1), np.zeros(n + m, bool)
+        while True:
+            x = int(np.where(done, np.inf, dist).argmin())
+            done[x] = True
+            if x >= n and need[x - n]:
+                break
+            if x < n:
+                new, where = dist[x] + np.maximum(cost[x] - row_price[x] - column_price, 0), np.arange(n, n + m)
+            else:
+                where = np.flatnonzero(flow[:, x - n])
+                new = np.full(len(where), dist[x])
+            better = (new < dist[where]) & ~done[where]
+            dist[where[better]], before[where[better]] = new[better], x
+        path = [x]
+        while before[path[-1]] >= 0:
+            path.append(int(before[path[-1]]))
+        steps = [(a, b - n, 1) if a < n else (b, a - n, -1) for b, a in zip(path, path[1:], strict=False)]
+        units = min([left[path[-1]], need[x - n], *[flow[i, j] for i, j, way in steps if way < 0]])
+        for i, j, way in steps:
+            flow[i, j] += way * units
+        left[path[-1]] -= units
+        need[x - n] -= units
+        shift = np.where(done, dist[x] - dist, 0.0)
+        row_price, column_price = row_price + shift[:n], column_price - shift[n:]
+    return float((flow * cost).sum())
+
+
+def exact_wasserstein(x, y) -> float:
+    """The 2-Wasserstein distance of two samples whose points weigh the same."""
+    import numpy as np
+
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    cost = np.maximum(0, (x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T)
+    return float(np.sqrt(transport(cost, np.full(len(x), len(y)), np.full(len(y), len(x))) / (len(x) * len(y))))
+
+
 def marker_size(fraction: Column, base: float = 100.0) -> Column:
     return F.lit(base) * (F.lit(0.15) + F.lit(2.35) * F.least(F.greatest(fraction, F.lit(0.0)), F.lit(1.0)))
 

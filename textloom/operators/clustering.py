@@ -95,6 +95,85 @@ def hierarchical(pairs: DataFrame, n_clusters: int | None = None, method: str =
     return _table(pairs.sparkSession, ids, labels, quality)
 
 
+def density_labels(d: np.ndarray, min_cluster_size: int = 3, min_samples: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Labels by density (-1 for none) and how surely each point belongs, 0..1 (HDBSCAN).
+
+    Points are linked by the larger of their distance and both distances to the `min_samples`-th neighbour. Cutting the
+    minimum spanning tree from its longest edge on, a part splits where both sides have `min_cluster_size` points and else
+    sheds the smaller side. Of nested parts those that persist longest in all are the clusters; the whole isn't one.
+    """
+    n = len(d)
+    labels, sure = np.full(n, -1), np.zeros(n)
+    if n < 2 * min_cluster_size:
+        return labels, sure
+    core = np.partition(d, min(n - 1, min_samples or min_cluster_size), axis=1)[:, min(n - 1, min_samples or min_cluster_size)]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    edges, inside, best, source = [], np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
+    at = 0
+    for _ in range(n - 1):
+        inside[at] = True
+        closer = ~inside & (reach[at] < best)
+        best[closer], source[closer] = reach[at][closer], at
+        at = int(np.where(inside, np.inf, best).argmin())
+        edges.append((float(best[at]), int(source[at]), at))
+    members, root = {i: [i] for i in range(n)}, list(range(n))
+    tree: dict[int, tuple[float, int, int]] = {}
+    for length, a, b in sorted(edges):
+        left, right = root[a], root[b]
+        new = n + len(tree)
+        tree[new], members[new] = (length, left, right), members[left] + members[right]
+        for x in members[new]:
+            root[x] = new
+    top = n + n - 2
+    born, part_of, inner, leaves_at = {top: 0.0}, {}, {top: []}, {top: {}}
+    todo = [(top, top)]
+    while todo:
+        node, owner = todo.pop()
+        if node < n:
+            continue
+        length, left, right = tree[node]
+        level = 1 / length if length > 0 else np.inf
+        big = [x for x in (left, right) if len(members[x]) >= min_cluster_size]
+        for x in (left, right):
+            if len(big) == 2:
+                born[x], part_of[x], inner[x], leaves_at[x] = level, owner, [], {}
+                inner[owner].append(x)
+                todo.append((x, x))
+            elif x in big:
+                todo.append((x, owner))
+            else:
+                leaves_at[owner].update(dict.fromkeys(members[x], level))
+    finite = [v for part in leaves_at.values() for v in part.values() if np.isfinite(v)]
+    cap = max([*finite, *[b for b in born.values() if np.isfinite(b)], 1.0])
+    lasting = {c: sum(min(v, cap) - born[c] for v in leaves_at[c].values()) + sum((min(born[x], cap) - born[c]) * len(members[x]) for x in inner[c]) for c in born}
+    chosen, worth = set(), {}
+    for c in sorted(born, key=lambda c: len(members[c])):
+        below = sum(worth[x] for x in inner[c])
+        if c != top and lasting[c] >= below:
+            worth[c] = lasting[c]
+            chosen -= {x for x in chosen if set(members[x]) <= set(members[c])}
+            chosen.add(c)
+        else:
+            worth[c] = below
+    for k, c in enumerate(sorted(chosen, key=lambda c: min(members[c]))):
+        left_at = {p: v for x in born if set(members[x]) <= set(members[c]) for p, v in leaves_at[x].items()}
+        most = max((min(v, cap) for v in left_at.values()), default=cap)
+        for p, v in left_at.items():
+            labels[p], sure[p] = k, min(v, most) / most if most > 0 else 1.0
+    return labels, sure
+
+
+def hdbscan(pairs: DataFrame, min_cluster_size: int = 3, min_samples: int | None = None) -> DataFrame:
+    """(participant, label, probability, silhouette) from given distances; label -1 is noise, which the silhouette leaves out;
+    null with fewer than two clusters."""
+    ids, d = square(pairs)
+    labels, sure = density_labels(d, min_cluster_size, min_samples)
+    kept = labels >= 0
+    quality = silhouette(d[kept][:, kept], labels[kept]) if len(set(labels[kept].tolist())) > 1 else None
+    rows = [(str(i), int(x), float(p), quality) for i, x, p in zip(ids, labels, sure, strict=True)]
+    return pairs.sparkSession.createDataFrame(rows, "participant string, label int, probability double, silhouette double")
+
+
 def kmeans(vectors: DataFrame, n_clusters: int | None = None, most_k: int = 10, seed: int = 42, starts: int = 10) -> DataFrame:
     """(participant, label, silhouette): Lloyd's algorithm from k-means++ starts; without n_clusters the best silhouette."""
     ids, x = matrix(vectors)
@@ -166,15 +245,22 @@ def pca(vectors: DataFrame, n_components: int = 2, use_clr: bool = False, standa
     return out, spark.createDataFrame(rows, "component int, dimension int, loading double, ratio double, cumulative double")
 
 
-def classical_mds(pairs: DataFrame) -> DataFrame:
-    """(participant, x, y): two coordinates that keep the distances as well as any; largest coordinate of an axis positive."""
-    ids, d = square(pairs)
-    n = len(ids)
-    centre = np.eye(n) - 1 / max(n, 1)
+def scaled(d: np.ndarray) -> np.ndarray:
+    """Two coordinates that keep the distances as well as any."""
+    n = len(d)
+    if not n:
+        return np.zeros((0, 2))
+    centre = np.eye(n) - 1 / n
     values, axes = np.linalg.eigh(-centre @ d**2 @ centre / 2)
     order = np.argsort(-values)[:2]
     xy = axes[:, order] * np.sqrt(np.maximum(values[order], 0))
-    xy = np.pad(xy * np.sign(xy[np.abs(xy).argmax(0), range(xy.shape[1])] + 1e-300), ((0, 0), (0, 2 - xy.shape[1])))
+    return np.pad(xy * np.sign(xy[np.abs(xy).argmax(0), range(xy.shape[1])] + 1e-300), ((0, 0), (0, 2 - xy.shape[1])))
+
+
+def classical_mds(pairs: DataFrame) -> DataFrame:
+    """(participant, x, y): two coordinates that keep the distances as well as any; largest coordinate of an axis positive."""
+    ids, d = square(pairs)
+    xy = scaled(d)
     return pairs.sparkSession.createDataFrame([(str(i), *map(float, p)) for i, p in zip(ids, xy, strict=True)], "participant string, x double, y double")
 
 

@@ -51,13 +51,22 @@ def distances(vectors: DataFrame, metric: str = "euclidean", key: str = "partici
     return left.join(right, F.col("a") < F.col("b")).select("a", "b", METRICS[metric](F.col("va"), F.col("vb")).alias("d"))
 
 
-def sample_distances(samples: DataFrame, n_dimensions: int, key: str = "participant", n_directions: int = 100, seed: int = 42) -> DataFrame:
-    """(a, b, d) by the sliced Wasserstein distance between participants' centred log-ratio rows. samples: key, rows
+def sample_distances(samples: DataFrame, n_dimensions: int, key: str = "participant", n_directions: int = 100, seed: int = 42, exact: bool = False) -> DataFrame:
+    """(a, b, d) by the sliced, or the exact, Wasserstein distance between participants' centred log-ratio rows. samples: key, rows
     (array of vectors, one per entity). More than MOST_PARTICIPANTS raise."""
     samples = bounded(samples)
     ways = V.random_directions(n_dimensions, n_directions, seed)
     logs = samples.select(key, F.transform("rows", V.clr).alias("rows"))
     left, right = logs.select(F.col(key).alias("a"), F.col("rows").alias("x")), logs.select(F.col(key).alias("b"), F.col("rows").alias("y"))
+    if exact:
+
+        @F.pandas_udf("double")
+        def distance(xs: pd.Series, ys: pd.Series) -> pd.Series:
+            import numpy as np
+
+            return pd.Series([V.exact_wasserstein(np.stack(x), np.stack(y)) if len(x) and len(y) else None for x, y in zip(xs, ys, strict=True)], dtype="Float64")
+
+        return left.join(right, F.col("a") < F.col("b")).select("a", "b", distance("x", "y").alias("d"))
     return left.join(right, F.col("a") < F.col("b")).select("a", "b", V.sliced_wasserstein(F.col("x"), F.col("y"), ways).alias("d"))
 
 

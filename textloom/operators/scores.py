@@ -240,6 +240,39 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1 - upper).otherwise(upper)
 
 
+def across_models(long: DataFrame, keys: Sequence[str], models: Sequence[str], value: str, model: str = "model") -> DataFrame:
+    """One row per key: the mean value of each model as a column of its name, their spread, and the model with the highest, the
+    first listed on ties; null where a model has none."""
+    means = {m: F.avg(F.when(F.col(model) == m, F.col(value))) for m in models}
+    wide = long.where(F.col(model).isin(list(models))).groupBy(*keys).agg(*[c.alias(m) for m, c in means.items()])
+    top = F.greatest(*[F.col(f"`{m}`") for m in models]) if len(models) > 1 else F.col(f"`{models[0]}`")
+    low = F.least(*[F.col(f"`{m}`") for m in models]) if len(models) > 1 else top
+    return wide.select("*", (top - low).alias("spread"), F.coalesce(*[F.when(F.col(f"`{m}`") == top, F.lit(m)) for m in models]).alias("best"))
+
+
+def model_summary(
+    reliability: DataFrame, correlations: DataFrame, resolution: DataFrame, efficiency: DataFrame, dimensions: Sequence[str],
+    scale: str, prompt: str, coarse_scale: str,
+) -> DataFrame:
+    """One row per model: alpha and cv of each dimension under the stated scale and prompt, least and largest alpha of all
+    conditions, mean, least and largest rank correlation, quality index and time, entropy of each dimension, and the share at
+    the ceiling of the coarse scale. What a model has no row for is null.
+
+    reliability: model, scale, prompt, dimension, alpha, avg_cv; correlations: model, rho; resolution: model, scale, prompt,
+    dimension, entropy_bits, ceiling_pct; efficiency: model, scale, prompt, quality_index, mean_time_ms."""
+    here = (F.col("scale") == scale) & (F.col("prompt") == prompt)
+    of = lambda d, c, when: F.max(F.when(when & (F.col("dimension") == d), F.col(c)))
+    told = reliability.groupBy("model").agg(
+        *[of(d, "alpha", here).alias(f"alpha_{d}") for d in dimensions], *[of(d, "avg_cv", here).alias(f"cv_{d}") for d in dimensions],
+        F.min("alpha").alias("alpha_min_all"), F.max("alpha").alias("alpha_max_all"),
+    )
+    ranks = correlations.groupBy("model").agg(F.round(F.avg("rho"), 4).alias("mean_rho"), F.round(F.min("rho"), 4).alias("min_rho"), F.round(F.max("rho"), 4).alias("max_rho"))
+    fast = efficiency.where(here).groupBy("model").agg(F.round(F.max("quality_index"), 4).alias("quality_index"), F.round(F.max("mean_time_ms")).alias("time_ms_per_entity"))
+    coarse = (F.col("scale") == coarse_scale) & (F.col("prompt") == prompt)
+    levels = resolution.groupBy("model").agg(*[of(d, "entropy_bits", here).alias(f"entropy_{d}") for d in dimensions], *[of(d, "ceiling_pct", coarse).alias(f"ceiling_pct_{d}") for d in dimensions])
+    return told.join(ranks, "model", "left").join(fast, "model", "left").join(levels, "model", "left")
+
+
 def quality_index(table: DataFrame, alpha: str, rho: str) -> Column:
     """sqrt(mean alpha * mean rho) of the aggregated columns."""
     return F.sqrt(F.greatest(F.avg(alpha) * F.avg(rho), F.lit(0.0)))

@@ -18,6 +18,7 @@ from textloom.operators import context as X
 from textloom.operators import decisions as D
 from textloom.operators import figurative as G
 from textloom.operators import graphs as N
+from textloom.operators import layouts as Y
 from textloom.operators import providers as P
 from textloom.operators import relationships as R
 from textloom.operators import scores as S
@@ -206,6 +207,18 @@ def relationships_graph(rows: DataFrame, min_edge_weight: int = 1, tolerance: fl
     return {"nodes": full, "edges": edges, "summary": summary}
 
 
+def named_regions(nodes: DataFrame, provider: P.Provider, min_distance: float = 0.05, min_cluster_size: int = 3, most: int = 10) -> dict[str, DataFrame]:
+    """positions of nodes (id, label) by likeness, pushed apart, with their region; regions with centre, size and the label the
+    provider gives their nodes, told up to `most` of them."""
+    placed = materialise(Y.repel(Y.semantic_layout(nodes), min_distance))
+    found = materialise(Y.regions(placed, min_cluster_size))
+    ranked = found.where("region >= 0").join(nodes.select("id", "label"), "id").withColumn("_n", F.row_number().over(Window.partitionBy("region").orderBy("label", "id")))
+    told = ranked.where(F.col("_n") <= most).groupBy("region").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    asked = P.parse(P.annotate(told, P.prompt("name", F.array_join("labels", "\n")), provider), "name")
+    names = asked.select("region", F.coalesce(F.nullif(trimmed(F.col("parsed.label")), F.lit("")), F.get("labels", F.lit(0))).alias("name"))
+    return {"positions": placed.join(found, "id"), "regions": Y.region_centres(placed, found).join(names, "region")}
+
+
 def entity_detect(texts: DataFrame, provider: P.Provider, size: int | None = 3, stride: int = 2, most: int = 500) -> dict[str, DataFrame]:
     """contexts (one per entity and window, context cut to `most` characters) and entities (distinct per text, by exact
     spelling). Blank texts are skipped."""
@@ -259,7 +272,7 @@ def entity_agreement(scores: DataFrame, mode: str = "run", n_bootstrap: int = 10
 
 def entity_cluster(scores: DataFrame, dimensions: Sequence[str], method: str = "hierarchical", k: int | None = None) -> dict[str, DataFrame]:
     v = materialise(C.centroids(scores, dimensions))
-    labels = K.kmeans(v, k) if method == "kmeans" else K.hierarchical(C.distances(v), k)
+    labels = K.kmeans(v, k) if method == "kmeans" else K.hdbscan(C.distances(v)) if method == "hdbscan" else K.hierarchical(C.distances(v), k)
     projected, loadings = K.pca(v)
     return {"labels": labels, "projection": projected, "loadings": loadings}
 
