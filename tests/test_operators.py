@@ -340,3 +340,29 @@ def test_replicates_of_registered_queries(spark, monkeypatch):
     assert [seen["sample"][x] for x in ("chains", "draws", "tune")] == [4, 2000, 1000]
     assert [seen[x]["n"] for x in ("bootstrap_alpha", "bootstrap_mean", "permutation_test")] == [1000, 10_000, 1000]
     assert seen["sample_distances"]["n_directions"] == 100
+
+
+def test_complete_link_by_brute_force():
+    rng = np.random.default_rng(12)
+    for n in (2, 6, 15):
+        names = [f"n{i:02d}" for i in range(n)]
+        pairs = {(a, b): round(float(rng.random()), 2) for a, b in combinations(names, 2)}
+        pairs = {k: v for k, v in pairs.items() if v >= 0.4}
+        clusters = [[x] for x in names]
+        likeness = lambda x, y: min(pairs.get((min(a, b), max(a, b)), 0.0) for a in x for b in y)
+        while True:
+            options = [(-likeness(x, y), x[0], y[0], i, j) for i, x in enumerate(clusters) for j, y in enumerate(clusters) if i < j]
+            s, _, _, i, j = min(options, default=(0, 0, 0, 0, 0))
+            if -s < 0.4:
+                break
+            clusters[i] += clusters.pop(j)
+        assert sorted(similarity.complete_link(pairs, names, 0.4)) == sorted(sorted(c) for c in clusters)
+
+
+def test_rounds_leave_one_table(spark, tmp_path, monkeypatch):
+    from textloom.plans import storage
+
+    monkeypatch.setattr(storage, "shared_folder", lambda _: str(tmp_path / "shared"))
+    edges, nodes, rows = random_graph(spark)
+    first = {r.id: r.component for r in graphs.components(nodes, rows).collect()}
+    assert len(first) == nodes.count() and len([x for x in os.listdir(tmp_path / "shared") if x.startswith("rounds-")]) == 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import pickle
 import tempfile
+import uuid
 from typing import Any
 
 from pyspark import Broadcast, cloudpickle
@@ -38,3 +39,21 @@ def broadcast_object(spark: SparkSession, value: Any) -> Broadcast:
 def broadcast_value(shared: Broadcast) -> Any:
     """What broadcast_object was given; to be called once per task."""
     return pickle.loads(shared.value)
+
+
+class Rounds:
+    """Tables of an iteration, each written to the shared folder in place of the one before, which is removed. What a table is
+    made of besides the last one has to lie elsewhere. The last table stays."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.path = spark, os.path.join(shared_folder(spark), f"rounds-{uuid.uuid4().hex}"), None
+        self.count = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path, self.count = f"{self.folder}-{self.count}", self.count + 1
+        df.write.parquet(path)
+        if self.path:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        self.path = path
+        return self.spark.read.schema(df.schema).parquet(path)
