@@ -128,3 +128,28 @@ def test_row_numbers_and_columns(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.pick_columns(["text", "id"], key="other")
     assert readers.pick_columns(["text", "id"]) == ("text", "id") and F.lit(1) is not None
+
+
+def beta_data(spark, shift):
+    rng = np.random.default_rng(5)
+    rows = []
+    for e in range(6):
+        for k in range(8):
+            group = "ab"[k % 2]
+            centre = 1 / (1 + np.exp(-(0.2 * e - 0.5 + shift * (group == "b") + 0.1 * rng.normal())))
+            rows += [("d", f"e{e}", f"p{k}", group, float(y)) for y in np.clip(rng.beta(centre * 40, (1 - centre) * 40, 6), 1e-4, 1 - 1e-4)]
+    return spark.createDataFrame(rows, "dimension string, entity string, participant string, group string, y double")
+
+
+def test_model_comparison(spark):
+    options = {"chains": 2, "draws": 300, "tune": 300}
+    apart = bayes.compare_models(beta_data(spark, 1.0), **options).first()
+    alike = bayes.compare_models(beta_data(spark, 0.0), **options).first()
+    assert apart.difference > 50 and abs(alike.difference) < 10 and apart.se_full > 0
+
+
+def test_offsets(spark):
+    draws = bayes.sample(beta_data(spark, 0.5), chains=2, draws=200, tune=300, offsets=True)
+    params = {r.param: r.m for r in draws.groupBy("param").agg(F.avg("value").alias("m")).collect()}
+    assert set(params) == {"theta", "group", "kappa", "sigma_entity", "sigma_group", "sigma_participant"} and 0 < params["sigma_participant"] < 0.6
+    assert "sigma_participant" not in {r.param for r in bayes.sample(beta_data(spark, 0.5), 1, 20, 20).select("param").distinct().collect()}

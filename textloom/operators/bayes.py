@@ -26,30 +26,54 @@ def prepare(scores: DataFrame, low: float, high: float) -> DataFrame:
     return known.join(F.broadcast(n), "dimension").withColumn("y", squeeze(scale_fraction(F.col("score"), low, high), F.col("_n"))).drop("_n")
 
 
-def sample(data: DataFrame, chains: int = 4, draws: int = 500, tune: int = 500, seed: int = 42) -> DataFrame:
+def sample(data: DataFrame, chains: int = 4, draws: int = 500, tune: int = 500, seed: int = 42, offsets: bool = False, with_groups: bool = True) -> DataFrame:
     """Draws of theta (entity), group, sigma_entity, sigma_group and kappa for y ~ Beta(mu kappa, (1 - mu) kappa), logit mu =
-    theta[entity] + group[g]. Random-walk Metropolis within Gibbs, steps tuned during warm-up. Observations shrink to counts
-    and sums of log y and log(1 - y) per entity and group first, so a chain holds cells and not rows."""
+    theta[entity] + group[g], and with `offsets` + offset[entity, participant], whose spread is sigma_participant. Random-walk
+    Metropolis within Gibbs, steps tuned during warm-up. Observations shrink to counts and sums of log y and log(1 - y) per
+    entity and group, or participant, first, so a chain holds cells and not rows. Without groups their effect stays 0."""
+    return _run_chains(data, chains, draws, tune, seed, offsets, with_groups, False)
+
+
+def model_fit(data: DataFrame, chains: int = 4, draws: int = 500, tune: int = 500, seed: int = 42, offsets: bool = False, with_groups: bool = True) -> DataFrame:
+    """Per dimension how well the model foretells a cell (WAIC): elpd, the effective number of parameters p, and the standard
+    error of elpd over cells; each the mean over the chains. Models are compared by the difference of elpd."""
+    cells = _run_chains(data, chains, draws, tune, seed, offsets, with_groups, True)
+    own = F.max(F.when(F.col("param") == "elpd", F.col("value"))).alias("elpd"), F.max(F.when(F.col("param") == "p", F.col("value"))).alias("p")
+    each = cells.groupBy("dimension", "chain", "idx").agg(*own)
+    per = each.groupBy("dimension", "chain").agg(F.sum("elpd").alias("elpd"), F.sum("p").alias("p"), (F.sqrt(F.count(F.lit(1))) * F.coalesce(F.stddev_samp("elpd"), F.lit(0.0))).alias("se"))
+    return per.groupBy("dimension").agg(F.avg("elpd").alias("elpd"), F.avg("p").alias("p"), F.avg("se").alias("se"))
+
+
+def compare_models(data: DataFrame, **options) -> DataFrame:
+    """Per dimension the elpd with and without group effects and their difference; above 0 speaks for the groups."""
+    full = model_fit(data, with_groups=True, **options).select("dimension", F.col("elpd").alias("elpd_full"), F.col("se").alias("se_full"))
+    reduced = model_fit(data, with_groups=False, **options).select("dimension", F.col("elpd").alias("elpd_reduced"))
+    return full.join(reduced, "dimension").withColumn("difference", F.col("elpd_full") - F.col("elpd_reduced"))
+
+
+def _run_chains(data: DataFrame, chains: int, draws: int, tune: int, seed: int, offsets: bool, with_groups: bool, fit: bool) -> DataFrame:
     import numpy as np
 
-    cells = data.groupBy("dimension", "entity", F.coalesce("group", F.lit("all")).alias("group")).agg(
+    who = F.col("participant").cast("string") if offsets else F.lit("")
+    cells = data.groupBy("dimension", "entity", F.coalesce("group", F.lit("all")).alias("group"), who.alias("participant")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.log("y")).alias("a"), F.sum(F.log(1 - F.col("y"))).alias("b")
     )
     each = cells.join(F.broadcast(data.sparkSession.range(chains).select(F.col("id").cast("int").alias("chain"))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         dimension, chain = pdf["dimension"].iloc[0], int(pdf["chain"].iloc[0])
-        pdf = pdf.sort_values(["entity", "group"])
+        pdf = pdf.sort_values(["entity", "group", "participant"])
         e, entities = pd.factorize(pdf["entity"])
         g, groups = pd.factorize(pdf["group"])
         n, a, b = (pdf[c].to_numpy(float) for c in ("n", "a", "b"))
         rng = np.random.default_rng([seed, chain, sum(map(ord, dimension))])
         lgamma = np.vectorize(math.lgamma)
-        theta, effect, kappa, s_e, s_g = rng.normal(0, 0.3, len(entities)), np.zeros(len(groups)), 10.0, 1.0, 0.5
-        step = {"theta": np.full(len(entities), 0.3), "group": np.full(len(groups), 0.3), "kappa": 0.3, "s_e": 0.3, "s_g": 0.3}
+        theta, effect, offset, kappa, s_e, s_g, s_p = rng.normal(0, 0.3, len(entities)), np.zeros(len(groups)), np.zeros(len(n)), 10.0, 1.0, 0.5, 0.5
+        step = {"theta": np.full(len(entities), 0.3), "group": np.full(len(groups), 0.3), "offset": np.full(len(n), 0.3), "kappa": 0.3, "s_e": 0.3, "s_g": 0.3, "s_p": 0.3}
+        foretold = np.zeros((draws if fit else 0, len(n)))
 
-        def likelihood(theta, effect, kappa):
-            mu = np.clip(1 / (1 + np.exp(-(theta[e] + effect[g]))), 1e-6, 1 - 1e-6)
+        def likelihood(theta, effect, kappa, off=None):
+            mu = np.clip(1 / (1 + np.exp(-(theta[e] + effect[g] + (offset if off is None else off)))), 1e-6, 1 - 1e-6)
             return n * (math.lgamma(kappa) - lgamma(mu * kappa) - lgamma((1 - mu) * kappa)) + (mu * kappa - 1) * a + ((1 - mu) * kappa - 1) * b
 
         def adapt(s, accepted, i):
@@ -63,7 +87,13 @@ def sample(data: DataFrame, chains: int = 4, draws: int = 500, tune: int = 500,
             ok = np.log(rng.random(len(theta))) < gain
             theta, step["theta"] = np.where(ok, new, theta), adapt(step["theta"], ok, i)
             now = likelihood(theta, effect, kappa)
-            if len(groups) > 1:
+            if offsets:
+                new = offset + step["offset"] * rng.standard_normal(len(offset))
+                trial = likelihood(theta, effect, kappa, new)
+                ok = np.log(rng.random(len(offset))) < trial - now - (new**2 - offset**2) / (2 * s_p**2)
+                offset, step["offset"] = np.where(ok, new, offset), adapt(step["offset"], ok, i)
+                now = likelihood(theta, effect, kappa)
+            if len(groups) > 1 and with_groups:
                 new = effect + step["group"] * rng.standard_normal(len(effect))
                 trial = likelihood(theta, new, kappa)
                 gain = np.bincount(g, trial - now, len(effect)) - (new**2 - effect**2) / (2 * s_g**2)
@@ -75,21 +105,26 @@ def sample(data: DataFrame, chains: int = 4, draws: int = 500, tune: int = 500,
             prior = lambda k: 2 * math.log(k) - 0.1 * k
             ok = math.log(rng.random()) < trial.sum() - now.sum() + prior(new) - prior(kappa)
             kappa, now, step["kappa"] = (new, trial, adapt(step["kappa"], ok, i)) if ok else (kappa, now, adapt(step["kappa"], ok, i))
-            for name, x in (("s_e", theta), ("s_g", effect)):
-                old = s_e if name == "s_e" else s_g
+            for name, x in (("s_e", theta), ("s_g", effect), ("s_p", offset))[: 3 if offsets else 2]:
+                old = {"s_e": s_e, "s_g": s_g, "s_p": s_p}[name]
                 new = old * math.exp(step[name] * rng.standard_normal())
                 p = lambda s, x=x: -len(x) * math.log(s) - (x**2).sum() / (2 * s * s) - s * s / 2 + math.log(s)
                 ok = math.log(rng.random()) < p(new) - p(old)
                 step[name] = adapt(step[name], ok, i)
-                if ok and name == "s_e":
-                    s_e = new
-                elif ok:
-                    s_g = new
-            if i >= tune:
+                if ok:
+                    s_e, s_g, s_p = (new if name == k else v for k, v in (("s_e", s_e), ("s_g", s_g), ("s_p", s_p)))
+            if i >= tune and fit:
+                foretold[i - tune] = now
+            elif i >= tune:
                 d = i - tune
                 out += [(dimension, chain, d, "theta", str(k), float(v)) for k, v in zip(entities, theta, strict=True)]
                 out += [(dimension, chain, d, "group", str(k), float(v)) for k, v in zip(groups, effect, strict=True)]
-                out += [(dimension, chain, d, p, "", float(v)) for p, v in (("kappa", kappa), ("sigma_entity", s_e), ("sigma_group", s_g))]
+                out += [(dimension, chain, d, p, "", float(v)) for p, v in (("kappa", kappa), ("sigma_entity", s_e), ("sigma_group", s_g), ("sigma_participant", s_p))[: 4 if offsets else 3]]
+        if fit:
+            top = foretold.max(0)
+            p = foretold.var(0, ddof=1)
+            elpd = top + np.log(np.exp(foretold - top).mean(0)) - p
+            out = [(dimension, chain, 0, name, str(k), float(v)) for name, x in (("elpd", elpd), ("p", p)) for k, v in enumerate(x)]
         return pd.DataFrame(out, columns=["dimension", "chain", "draw", "param", "idx", "value"])
 
     return each.groupBy("dimension", "chain").applyInPandas(run, DRAWS)
