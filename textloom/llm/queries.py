@@ -59,11 +59,10 @@ def _usable_confidence():
 
 
 def _written(text):
-    """How a text is written: its case, and whether more than single blanks and words make it up."""
-    letters = F.regexp_replace(text, r"[^\p{L}]", "")
-    case = F.when(letters == F.lower(letters), "lower").when(letters == F.upper(letters), "upper").when(F.substring(letters, 2, 1 << 30) == F.lower(F.substring(letters, 2, 1 << 30)), "first").otherwise("mixed")
-    edges = F.when(text.rlike(r"^[\p{L}\p{Nd}].*[\p{L}\p{Nd}]$"), "bare").otherwise("marked")
-    inside = F.when(text.rlike(r"^\P{L}*[\p{L}\p{Nd}]+( [\p{L}\p{Nd}]+)*\P{L}*$"), "plain").otherwise("spaced")
+    """How a text is written: its case, and whether more than words and single blanks make it up."""
+    case = F.when(~text.rlike(r"\p{Lu}"), "lower").when(~text.rlike(r"\p{Ll}"), "upper").when(text.rlike(r"^\P{L}*\p{L}[^\p{Lu}]*$"), "first").otherwise("mixed")
+    edges = F.when(text.rlike(r"^[\p{L}\p{Nd}]") & text.rlike(r"[\p{L}\p{Nd}]$"), "bare").otherwise("marked")
+    inside = F.when(text.rlike(r"[\p{L}\p{Nd}](?: [^\p{L}\p{Nd}]|[^\p{L}\p{Nd} ])[^\p{L}\p{Nd}]*[\p{L}\p{Nd}]"), "spaced").otherwise("plain")
     return F.concat_ws(" ", case, edges, inside)
 
 
