@@ -112,6 +112,12 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+def p3_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of each item add up to without their overlaps, and whether all keep the limit."""
+    new = F.sum(F.length("text") - F.col("overlap")).alias("characters")
+    return _pieces(spark, folder).groupBy("item_table", "item_key").agg(new, F.bool_and((F.length("text") <= 1200) & (F.col("overlap") <= 120)).alias("within"))
+
+
 def _marked_terms(spark: SparkSession, folder: str) -> DataFrame:
     relations, detections = table(spark, folder, "relationships"), table(spark, folder, "entity_detections")
     single = term_frequency.occurrences(relations, "relationship_type", F.array(term(F.col("type")))).unionByName(
@@ -150,6 +156,12 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(counted).withColumnRenamed("item", "doc_id")
 
 
+def p6_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that have a place: all with a token, each once unless it is cut."""
+    placed = p6_containers(spark, folder).groupBy("doc_id").agg(F.count(F.lit(1)).alias("places"), F.max("part").alias("last"), F.sum("tokens").alias("tokens"))
+    return placed.select("doc_id", ((F.col("places") == F.col("last") + 1) & ((F.col("places") == 1) | (F.col("tokens") > 2048))).alias("whole"))
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
 
@@ -158,6 +170,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).where("same").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
 
 
+def p7_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document and item: the pairs of places from which 12 words are the same."""
+    runs = _leaks(spark, folder).where("size = 12 and same")
+    return runs.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.count(F.lit(1)).alias("runs"))
+
+
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Per document and item: runs of 12 words that leaked as they are, and how similar the closest passage of the item's
     whole size is, if it is similar at all."""
@@ -184,5 +202,5 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [p1_found, p1_records, p2_found, p2_survivors, p3_found, p3_pieces, p4_found, p4_terms, p5_found, p5_pairs, p6_containers, p7_found, p7_leaks, p8_found, p8_shares]
+    found = [p1_found, p1_records, p2_found, p2_survivors, p3_found, p3_pieces, p3_lengths, p4_found, p4_terms, p5_found, p5_pairs, p6_containers, p6_documents, p7_found, p7_runs, p7_leaks, p8_found, p8_shares]
     return {f.__name__: f for f in found}

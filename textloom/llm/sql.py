@@ -116,6 +116,10 @@ def oracle_sql() -> dict[str, str]:
         "p1_records": _RECORDS + "select keep_id, count(*) as copies from grouped group by 1",
         "p2_found": _INSTANCES,
         "p3_found": _LONG,
+        "p3_lengths": """with items as (select 'relationships_sample' as item_table, id as item_key, text from relationships_sample union all select 'rel_windows', cast(window_id as varchar), window_text from rel_windows)
+            select item_table, item_key, sum(length(text))::bigint as characters, true as within from items where length(text) > 1200 group by 1, 2""",
+        "p6_documents": "select doc_id, true as whole from documents where text <> ''",
+        "p7_runs": _LEAKS.replace("select distinct doc_id, array", "select doc_id, array").replace("select distinct item_id, array", "select item_id, array").replace("select distinct doc_id, item_id from dw join iw using (g)", "select doc_id, item_id, count(*) as runs from dw join iw using (g) group by 1, 2"),
         "p4_found": _TERMS + "select field_name, term, mark from marked where mark is not null",
         "p4_terms": _TERMS + "select field_name, term, occurrences, records, mark from marked",
         "p5_found": _PAIRS + "select list_name, item_a, item_b from scored",
