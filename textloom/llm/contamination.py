@@ -188,8 +188,8 @@ def find_leaks(
     Rows of size `part` are runs of that many words; rows of a larger size are the whole item against as many words of the
     document, found through a window of the item's size within the radius. Null, empty and shorter texts have neither.
     Repeated rows of a document or item give repeated rows. The radius is guaranteed; that pairs of the given similarity lie
-    within it is likely, not certain: for one changed word in 60 about 98 of 100 do, and the run of 12 words that any such
-    pair keeps is found with certainty.
+    within it is likely, not certain: for one changed word in 60 or two in 100, 997 to 999 of 1,000 do, and the run of 12
+    words that any such pair keeps is found with certainty.
 
     Items are broadcast in blocks of at most `words_at_once` words, an item beyond that alone; every block meets every
     document. Documents are read once per block, without a shuffle, so neither a large source nor a very long text gathers
