@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors as V
+from textloom.operators import allpairs
 from textloom.plans.storage import materialise
 
-METRICS = {"euclidean": V.euclidean, "cosine": V.cosine_distance, "aitchison": V.aitchison}
-
 
 def centroids(scores: DataFrame, dimensions: Sequence[str], participant: str = "participant", dimension: str = "dimension", score: str = "score") -> DataFrame:
     """(participant, v): mean score per dimension in the order given; dimensions without a score are 0."""
@@ -32,28 +31,26 @@ def subset(rows: DataFrame, participants: Sequence[str], participant: str = "par
     return rows.withColumn("place", F.array_position(wanted, F.col(participant)) - 1).where("place >= 0")
 
 
-MOST_PARTICIPANTS = 5_000
+#: Set to a number, more participants than that raise; by default there is no bound.
+MOST_PARTICIPANTS: int | None = None
 
 
 def bounded(rows: DataFrame, most: int | None = None) -> DataFrame:
-    """The rows, counted: as many as pairs may be made of, or an error."""
+    """The rows, counted where a bound is set: as many as pairs may be made of, or an error."""
     most = MOST_PARTICIPANTS if most is None else most
-    if rows.limit(most + 1).count() > most:
+    if most is not None and rows.limit(most + 1).count() > most:
         raise ValueError(f"at most {most} participants")
     return rows
 
 
 def distances(vectors: DataFrame, metric: str = "euclidean", key: str = "participant") -> DataFrame:
-    """(a, b, d) of every pair a < b. The pairs of a stated, small set of participants are the result itself; more than
-    MOST_PARTICIPANTS raise."""
-    vectors = bounded(vectors)
-    left, right = vectors.select(F.col(key).alias("a"), F.col("v").alias("va")), vectors.select(F.col(key).alias("b"), F.col("v").alias("vb"))
-    return left.join(right, F.col("a") < F.col("b")).select("a", "b", METRICS[metric](F.col("va"), F.col("vb")).alias("d"))
+    """(a, b, d) of every pair a < b, made in tiles by tasks with about as many pairs each. metric: euclidean, cosine, aitchison."""
+    return allpairs.pairs(bounded(vectors), metric, key)
 
 
 def sample_distances(samples: DataFrame, n_dimensions: int, key: str = "participant", n_directions: int = 100, seed: int = 42, exact: bool = False) -> DataFrame:
     """(a, b, d) by the sliced, or the exact, Wasserstein distance between participants' centred log-ratio rows. samples: key, rows
-    (array of vectors, one per entity). More than MOST_PARTICIPANTS raise."""
+    (array of vectors, one per entity)."""
     samples = bounded(samples)
     ways = V.random_directions(n_dimensions, n_directions, seed)
     logs = samples.select(key, F.transform("rows", V.clr).alias("rows"))
