@@ -42,6 +42,10 @@ def test_cosine_distances_of_many(spark):
     check_distances(spark, "cosine")
 
 
+def test_participant_distances_of_many(spark):
+    check_distances(spark, "euclidean")
+
+
 def test_distances_of_odd_vectors(spark):
     rows = [("a", [1.0, 2.0]), ("a", [3.0, 2.0]), ("b", [1.0, None]), ("c", None), ("d", [1.0]), ("e", [4.0, 6.0])]
     vectors = spark.createDataFrame(rows, "participant string, v array<double>")
