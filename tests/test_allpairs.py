@@ -52,3 +52,21 @@ def test_distances_of_odd_vectors(spark):
     got = sorted((r.a, r.b, r.d) for r in comparison.distances(vectors).where("d is not null").collect())
     assert [g[:2] for g in got] == [("a", "e")] * 2 and sorted(g[2] for g in got) == pytest.approx([17**0.5, 5])
     assert comparison.distances(vectors).count() == 14 and comparison.distances(vectors.limit(0)).count() == 0
+
+
+def test_distance_summary(spark):
+    rows = [("a", [0.0, 0.0]), ("b", [3.0, 4.0]), ("c", [3.0, 4.0]), ("d", [0.0, 0.0]), ("e", [6.0, 8.0]), ("f", [1.0, None]), (None, [9.0, 9.0])]
+    vectors = spark.createDataFrame(rows, "participant string, v array<double>").repartition(3)
+    assert comparison.distance_summary(vectors).first()[:1] == (15,) and comparison.distance_summary(vectors).first().closest_b == "d"
+    vectors = vectors.where("participant <> 'f'")
+    for metric in ("euclidean", "cosine"):
+        for some in (vectors, vectors.where("participant <> 'e'"), vectors.where("participant = 'a'")):
+            assert comparison.distance_summary(some, metric).collect() == comparison.summarise(comparison.distances(some, metric)).collect()
+
+
+def test_distance_summary_of_many(spark):
+    out = comparison.distance_summary(many(spark)).first()
+    x = np.array([r.v for r in many(spark).orderBy("participant").collect()])
+    d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T))[np.triu_indices(len(x), 1)]
+    assert (out.n_pairs, out.closest_a, out.closest_b) == (5_001 * 5_000 // 2, 0, 1)
+    assert (out.mean, out.median, out.min, out.max) == (pytest.approx(d.mean()), pytest.approx(np.median(d)), 0, pytest.approx(d.max()))

@@ -126,3 +126,124 @@ def pairs(vectors: DataFrame, metric: str = "euclidean", key: str = "participant
                 ], names=["a", "b", "d"])
 
     return spark.range(0, parts, 1, parts).mapInArrow(emit, f"a {kind}, b {kind}, d double")
+
+
+def _bits(d: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the distances, one for each."""
+    raw = np.where(np.isnan(d), np.nan, d).view(np.uint64)
+    return np.where(raw >> 63, ~raw, raw | np.uint64(1 << 63))
+
+
+def _value(bits: int) -> float:
+    raw = bits ^ (1 << 63) if bits >> 63 else bits ^ (2**64 - 1)
+    return float(np.array([raw], np.uint64).view(float)[0])
+
+
+def _given(points: Points, first: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distances that there are, and their rows and columns."""
+    for start, end in points.rows(first, last):
+        a, b = np.arange(start, end), np.arange(start + 1, len(points))
+        later = points.place[b] > points.place[a][:, None]
+        known = points.known(a, b)
+        i, j = np.nonzero(later if known is None else later & known)
+        yield points.tile(slice(start, end), slice(start + 1, None))[i, j], a[i], b[j]
+
+
+def summary(vectors: DataFrame, metric: str = "euclidean", key: str = "participant") -> DataFrame:
+    """One row over all pairs: n_pairs, mean, median, min, max, and the closest and farthest pair, the first in order on ties.
+
+    The median is found by its digits: distances are counted by the next 16 bits of those that share the ones found so far.
+    """
+    ids, points = collected(vectors, metric, key)
+    same = np.unique(points.place, return_counts=True)[1].astype(object)
+
+    def count(wanted: list[int], depth: int):
+        def work(points: Points, first: int, last: int):
+            n, total, near, far, seen = 0, 0.0, None, None, {w: np.zeros(1 << 16, np.int64) for w in wanted}
+            for d, a, b in _given(points, first, last):
+                if not len(d):
+                    continue
+                bits = _bits(d)
+                for w in wanted:
+                    own = bits if not depth else bits[bits >> np.uint64(64 - 16 * depth) == np.uint64(w)]
+                    seen[w] += np.bincount(((own >> np.uint64(48 - 16 * depth)) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+                if not depth:
+                    n, total = n + len(d), total + float(d.sum())
+                    low, high = int(bits.argmin()), int(bits.argmax())
+                    near = min(near or (np.inf,), (int(bits[low]), int(a[low]), int(b[low])))
+                    far = min(far or (np.inf,), (-int(bits[high]), int(a[high]), int(b[high])))
+            return n, total, near, far, {w: (np.flatnonzero(c), c[c > 0]) for w, c in seen.items()}
+
+        return over_spans(vectors.sparkSession, points, work)
+
+    parts, wanted = count([0], 0), [0]
+    n = sum(p[0] for p in parts)
+    kind = vectors.schema[key].dataType.simpleString()
+    schema = f"n_pairs long, mean double, median double, min double, max double, closest_a {kind}, closest_b {kind}, farthest_a {kind}, farthest_b {kind}"
+    every = int(sum(same) ** 2 - sum(same**2)) // 2 if len(same) else 0
+    if not n:
+        return vectors.sparkSession.createDataFrame([(every, *[None] * 8)], schema)
+    mean = sum(p[1] for p in parts) / n
+    near, far = (min(p[k] for p in parts if p[k]) for k in (2, 3))
+    ranks, found = [(n - 1) // 2, n // 2], [0, 0]
+    for depth in range(4):
+        sums = {w: np.zeros(1 << 16, np.int64) for w in wanted}
+        for p in parts:
+            for w, (at, c) in p[4].items():
+                sums[w][at] += c
+        for k, w in enumerate(list(found)):
+            upto = np.cumsum(sums[w])
+            digit = int(np.searchsorted(upto, ranks[k], "right"))
+            ranks[k] -= int(upto[digit - 1]) if digit else 0
+            found[k] = w << 16 | digit
+        wanted = sorted(set(found))
+        if depth < 3:
+            parts = count(wanted, depth + 1)
+    row = (every, mean, (_value(found[0]) + _value(found[1])) / 2, _value(near[0]), _value(-far[0]), *(ids[i].as_py() for i in (*near[1:], *far[1:])))
+    return vectors.sparkSession.createDataFrame([row], schema)
+
+
+def by_group(vectors: DataFrame, groups: DataFrame, metric: str = "euclidean", key: str = "participant") -> DataFrame:
+    """(ga, gb, n, known, total): per two groups the number of pairs of their members, of those with a distance, and their
+    distances' sum. Groups are in no order; a pair's members differ. groups: (group, key); without a group rows are left out."""
+    spark, names = vectors.sparkSession, groups.schema["group"].dataType.simpleString()
+    member = groups.where(F.col("group").isNotNull()).select(F.col(key).alias("_member"), "group")
+    ids, points = collected(vectors.join(member, F.col(key) == F.col("_member")).select(F.struct("group", key).alias("k"), "v"), metric, "k")
+    own = ids.field("group") if len(ids) else pa.array([], pa.string())
+    people = ids.field(key).to_pylist() if len(ids) else []
+    listed = own.to_pylist()
+    code = np.cumsum([i > 0 and listed[i] != listed[i - 1] for i in range(len(listed))], dtype=np.int64)
+    labels = [listed[i] for i in range(len(listed)) if not i or listed[i] != listed[i - 1]]
+    numbers: dict = {}
+    person = np.array([numbers.setdefault(p, len(numbers)) for p in people], np.int64)
+    parts = n_parts(spark, len(points))
+    shared, ranges = broadcast_object(spark, (points, code, person, labels)), spans(len(points), parts)
+    schema, kind = f"ga {names}, gb {names}, n long, known long, total double", own.type
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, code, person, labels = broadcast_value(shared)
+
+        def finished(g: int, sums: np.ndarray) -> pa.RecordBatch:
+            at = np.flatnonzero(sums[0])
+            sides = [pa.array([labels[x] for x in side], kind) for side in (np.full(len(at), g), at)]
+            return pa.RecordBatch.from_arrays([*sides, *(pa.array(s[at].astype(np.int64)) for s in sums[:2]), pa.array(sums[2][at])], names=["ga", "gb", "n", "known", "total"])
+
+        for part in (i for batch in batches for i in batch.column(0).to_pylist()):
+            now, sums = -1, np.zeros((3, len(labels)))
+            for first, end in points.rows(*ranges[part]):
+                tile, known = points.tile(slice(first, end), slice(first + 1, None)), points.known(slice(first, end), slice(first + 1, None))
+                for i in range(first, end):
+                    if code[i] != now:
+                        if now >= 0:
+                            yield finished(now, sums)
+                        now, sums = int(code[i]), np.zeros((3, len(labels)))
+                    other = person[i + 1 :] != person[i]
+                    there = other if known is None else other & known[i - first, i - first :]
+                    groups_of, d = code[i + 1 :], tile[i - first, i - first :]
+                    sums[0] += np.bincount(groups_of[other], minlength=len(labels))
+                    sums[1] += np.bincount(groups_of[there], minlength=len(labels))
+                    sums[2] += np.bincount(groups_of[there], d[there], len(labels))
+            if now >= 0:
+                yield finished(now, sums)
+
+    return spark.range(0, parts, 1, parts).mapInArrow(add, schema).groupBy("ga", "gb").agg(*[F.sum(c).alias(c) for c in ("n", "known", "total")])

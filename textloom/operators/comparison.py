@@ -67,6 +67,11 @@ def sample_distances(samples: DataFrame, n_dimensions: int, key: str = "particip
     return left.join(right, F.col("a") < F.col("b")).select("a", "b", V.sliced_wasserstein(F.col("x"), F.col("y"), ways).alias("d"))
 
 
+def distance_summary(vectors: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """What summarise tells, of all pairs, from the vectors: no table of pairs is made."""
+    return allpairs.summary(bounded(vectors), metric)
+
+
 def summarise(pairs: DataFrame) -> DataFrame:
     """One row: n_pairs, mean, median, min, max, and the closest and farthest pair, the first in order on ties."""
     place = F.struct("d", "a", "b")
@@ -84,14 +89,13 @@ def excluded(vectors: DataFrame, groups: DataFrame) -> DataFrame:
 def group_distances(vectors: DataFrame, groups: DataFrame, metric: str = "euclidean") -> DataFrame:
     """Rows (kind, group_a, group_b, n_pairs, mean): kind within for each group (mean 0 for fewer than two members), between
     for each pair of groups. groups: (group, participant)."""
-    grouped = bounded(materialise(vectors.join(groups.select("participant").distinct(), "participant", "left_semi")))
-    member = F.broadcast(groups.join(F.broadcast(grouped.select("participant")), "participant", "left_semi").select("group", F.col("participant").alias("p")))
-    pairs = distances(grouped, metric)
-    named = pairs.join(member.select(F.col("p").alias("a"), F.col("group").alias("ga")), "a").join(member.select(F.col("p").alias("b"), F.col("group").alias("gb")), "b")
-    within = named.where("ga = gb").groupBy(F.col("ga").alias("group_a")).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("d").alias("mean"))
+    bounded(vectors.join(groups.select("participant").distinct(), "participant", "left_semi"))
+    named = materialise(allpairs.by_group(vectors, groups, metric))
+    mean = F.sum("total") / F.nullif(F.sum("known"), F.lit(0))
+    within = named.where("ga = gb").groupBy(F.col("ga").alias("group_a")).agg(F.sum("n").alias("n_pairs"), mean.alias("mean"))
     every = groups.select(F.col("group").alias("group_a")).distinct().join(within, "group_a", "left")
     inner = every.select(F.lit("within").alias("kind"), "group_a", F.col("group_a").alias("group_b"), F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
-    outer = named.where("ga <> gb").groupBy(F.lit("between").alias("kind"), F.least("ga", "gb").alias("group_a"), F.greatest("ga", "gb").alias("group_b")).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("d").alias("mean"))
+    outer = named.where("ga <> gb").groupBy(F.lit("between").alias("kind"), F.least("ga", "gb").alias("group_a"), F.greatest("ga", "gb").alias("group_b")).agg(F.sum("n").alias("n_pairs"), mean.alias("mean"))
     return inner.unionByName(outer)
 
 

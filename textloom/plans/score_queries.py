@@ -215,7 +215,7 @@ def ternary_points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def distance_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(C.summarise(C.distances(materialise(_centroids(spark, folder)))))
+    return _rounded(C.distance_summary(materialise(_centroids(spark, folder))))
 
 
 def group_distances(spark: SparkSession, folder: str) -> DataFrame:
