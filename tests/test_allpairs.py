@@ -70,3 +70,27 @@ def test_distance_summary_of_many(spark):
     d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T))[np.triu_indices(len(x), 1)]
     assert (out.n_pairs, out.closest_a, out.closest_b) == (5_001 * 5_000 // 2, 0, 1)
     assert (out.mean, out.median, out.min, out.max) == (pytest.approx(d.mean()), pytest.approx(np.median(d)), 0, pytest.approx(d.max()))
+
+
+def test_group_distances(spark):
+    x = np.random.default_rng(4).random((30, 3))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "participant int, v array<double>")
+    member = [(None if i % 10 == 9 else "gh"[i % 2] if i % 10 < 6 else "one" + str(i), i) for i in range(28)] + [("h", 0), ("h", 1), ("h", 99), ("none", 98)]
+    groups = spark.createDataFrame(member, "group string, participant int")
+    want: dict = {}
+    for k, (g, i) in enumerate(member):
+        for h, j in member[k + 1 :]:
+            if g and h and i != j and max(i, j) < 30:
+                want.setdefault((min(g, h), max(g, h)), []).append(plain("euclidean", x[[i, j]])[0, 1])
+    got = {(r.group_a, r.group_b): (r.n_pairs, r["mean"]) for r in comparison.group_distances(vectors, groups).where("group_a is not null").collect()}
+    assert all(got[k] == (len(v), pytest.approx(np.mean(v))) for k, v in want.items())
+    assert {k for k in got if k not in want} == {(g, g) for g in {m[0] for m in member if m[0]}} - set(want) and got["none", "none"] == (0, 0)
+
+
+def test_group_distances_of_many(spark):
+    v = many(spark)
+    groups = v.select(F.concat(F.lit("g"), F.col("participant") % 3).alias("group"), "participant")
+    got = comparison.group_distances(v, groups).collect()
+    assert len(got) == 6 and sum(r.n_pairs for r in got) == 5_001 * 5_000 // 2 and sum(r.n_pairs for r in got if r.kind == "within") == 3 * 1_667 * 1_666 // 2
+    whole = comparison.distance_summary(v).first()
+    assert sum(r.n_pairs * r["mean"] for r in got) / whole.n_pairs == pytest.approx(whole["mean"])
