@@ -92,5 +92,41 @@ def test_group_distances_of_many(spark):
     groups = v.select(F.concat(F.lit("g"), F.col("participant") % 3).alias("group"), "participant")
     got = comparison.group_distances(v, groups).collect()
     assert len(got) == 6 and sum(r.n_pairs for r in got) == 5_001 * 5_000 // 2 and sum(r.n_pairs for r in got if r.kind == "within") == 3 * 1_667 * 1_666 // 2
+    effect = comparison.effect_size(comparison.group_distances(v, groups)).first().effect_size
+    assert effect == pytest.approx(np.mean([r["mean"] for r in got if r.kind == "between"]) / np.mean([r["mean"] for r in got if r.kind == "within"]))
     whole = comparison.distance_summary(v).first()
     assert sum(r.n_pairs * r["mean"] for r in got) / whole.n_pairs == pytest.approx(whole["mean"])
+
+
+def shuffles(x, codes, n):
+    """Effects of the shuffles of the legacy generator, by the matrix of distances."""
+    d, old, k = plain("euclidean", x), np.random.RandomState(42), max(codes) + 1
+
+    def effect(labels):
+        hot = np.eye(k)[labels]
+        sums, sizes = hot.T @ d @ hot, hot.sum(0)
+        pairs, upper = sizes * (sizes - 1), np.triu_indices(k, 1)
+        return (sums[upper] / np.outer(sizes, sizes)[upper]).mean() / (np.diag(sums)[pairs > 0] / pairs[pairs > 0]).mean()
+
+    return effect(codes), [effect(old.permutation(codes)) for _ in range(n)]
+
+
+def test_permutation_test(spark):
+    x = np.random.default_rng(5).random((60, 3))
+    names = sorted((["big"] * 31 + ["c", "d", "alone"] * 5 + ["e"] * 12 + ["f", "g"])[:60])
+    names[0] = "a single one"
+    names.sort()
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "participant int, v array<double>").repartition(3)
+    groups = spark.createDataFrame([(g, i) for i, g in enumerate(names)] + [(None, 3), ("big", 999)], "group string, participant int")
+    out = comparison.permutation_test(vectors, groups, n=50).first()
+    observed, drawn = shuffles(x, np.unique(names, return_inverse=True)[1], 50)
+    assert (out.observed, out.n, out.null_mean, out.null_sd) == (pytest.approx(observed), 50, pytest.approx(np.mean(drawn)), pytest.approx(np.std(drawn, ddof=1)))
+    assert out.p == pytest.approx(np.mean(np.array(drawn) >= observed))
+
+
+def test_permutation_test_of_many(spark):
+    v = many(spark)
+    groups = v.select(F.concat(F.lit("g"), F.when(F.col("participant") < 3_000, F.lit(0)).otherwise(F.col("participant") % 30)).alias("group"), "participant")
+    out = comparison.permutation_test(v, groups, n=12).first()
+    assert out.n == 12 and out.observed == pytest.approx(comparison.effect_size(comparison.group_distances(v, groups)).first().effect_size)
+    assert out.null_mean == pytest.approx(1, abs=0.05)

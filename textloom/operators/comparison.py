@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import vectors as V
 from textloom.operators import allpairs
-from textloom.plans.storage import materialise
+from textloom.plans.storage import broadcast_object, broadcast_value, materialise
 
 
 def centroids(scores: DataFrame, dimensions: Sequence[str], participant: str = "participant", dimension: str = "dimension", score: str = "score") -> DataFrame:
@@ -113,45 +113,67 @@ def effect_size(stats: DataFrame) -> DataFrame:
 
 def permutation_test(vectors: DataFrame, groups: DataFrame, metric: str = "euclidean", n: int = 1000, seed: int = 42) -> DataFrame:
     """One row: observed effect size, p (share of shuffles at least as large, no correction), n, mean and sd of the shuffled
-    effects. Shuffles come from one legacy seeded generator and run in parallel tasks."""
+    effects. Shuffles come from one legacy seeded generator and run in parallel tasks, which draw them from its states.
+
+    Shuffles keep the groups' sizes. So the mean distance between groups is a sum over all pairs by weights of their members, less
+    the sums within groups. What runs over all pairs, the weights and groups of at least an eighth of the members, is multiplied
+    for a task's shuffles at once, tile by tile; sums within smaller groups are taken from their members alone.
+    """
     import numpy as np
 
     spark = vectors.sparkSession
-    rows = vectors.join(groups, "participant").select("participant", "group", "v").orderBy("group", "participant").limit(MOST_PARTICIPANTS + 1).toPandas()
-    if len(rows) > MOST_PARTICIPANTS:
-        raise ValueError(f"at most {MOST_PARTICIPANTS} participants")
-    x = np.array(rows["v"].tolist(), float).reshape(len(rows), -1)
-    if metric == "aitchison":
-        x = np.log(np.clip(x, V.TINY, None) / np.clip(x, V.TINY, None).sum(1, keepdims=True))
-        x -= x.mean(1, keepdims=True)
-    if metric == "cosine":
-        lengths = np.linalg.norm(x, axis=1, keepdims=True)
-        unit = np.divide(x, lengths, out=np.zeros_like(x), where=lengths > 0)
-        d = 1 - unit @ unit.T
-    else:
-        d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T))
-    codes = pd.factorize(rows["group"])[0]
-    held = spark.sparkContext.broadcast((d, codes))
-
-    def effect(d, labels) -> float:
-        k = labels.max() + 1
-        onehot = np.eye(k)[labels]
-        sums, sizes = onehot.T @ (d - np.diag(np.diag(d))) @ onehot, onehot.sum(0)
-        pairs = sizes * (sizes - 1)
-        within = (np.diag(sums)[pairs > 0] / pairs[pairs > 0]).mean() if (pairs > 0).any() else 0.0
-        upper = np.triu_indices(k, 1)
-        between = (sums[upper] / np.outer(sizes, sizes)[upper]).mean() if k > 1 else float("nan")
-        return between / within if within > 0 else float("nan")
-
-    observed = effect(d, codes) if len(rows) else float("nan")
-    old = np.random.RandomState(seed)
-    orders = spark.createDataFrame(pd.DataFrame({"i": range(n), "labels": [old.permutation(codes).tolist() for _ in range(n)]}), "i int, labels array<int>")
-
-    def shuffle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"effect": [effect(held.value[0], np.array(labels, int)) for labels in batch["labels"]]})
-
-    drawn = orders.repartition(spark.sparkContext.defaultParallelism).mapInPandas(shuffle, "effect double")
+    named = groups.where(F.col("group").isNotNull()).select(F.col("participant").alias("_member"), "group")
+    ids, points = allpairs.collected(bounded(vectors.join(named, F.col("participant") == F.col("_member"))).select(F.struct("group", "participant").alias("k"), "v"), metric, "k")
+    codes = pd.factorize(pd.Series(ids.field("group").to_pylist() if len(ids) else [], dtype=object))[0].astype(np.int64)
+    held = broadcast_object(spark, (points, codes))
+
+    def effects(points: allpairs.Points, codes, orders: list) -> list[float]:
+        m, sizes = len(codes), np.bincount(codes)
+        k, pairs = len(sizes), sizes * (sizes - 1.0)
+        if not (pairs > 0).any():
+            return [float("nan")] * len(orders)
+        whole = points.tile(slice(None), slice(None)) if m <= 4_000 else None
+        tile = (lambda a, b: whole[a, b]) if whole is not None else points.tile
+        large = np.flatnonzero((sizes >= m / 8) & (pairs > 0))
+        columns = np.stack([c for labels in orders for c in (1 / sizes[labels], *((labels == g) * 1.0 for g in large))], axis=1)
+        sums = np.zeros(columns.shape[1])
+        for first, end in points.rows(0, m):
+            d = tile(slice(first, end), slice(first, None))
+            own, later = columns[first:end], columns[end:]
+            inside = d[:, : end - first] * ~np.eye(end - first, dtype=bool)
+            sums += (own * (inside @ own + 2 * (d[:, end - first :] @ later))).sum(0)
+        out = []
+        for labels, (weighted, *of_large) in zip(orders, sums.reshape(len(orders), -1).tolist(), strict=True):
+            within = np.zeros(k)
+            within[large] = of_large
+            place = np.split(np.argsort(labels, kind="stable"), np.cumsum(sizes)[:-1])
+            for g in np.flatnonzero((sizes < m / 8) & (pairs > 0)):
+                members = place[g]
+                for at in range(0, len(members), 256):
+                    rows, rest = members[at : at + 256], members[at:]
+                    d = whole[np.ix_(rows, rest)] if whole is not None else points.tile(rows, rest)
+                    within[g] += 2 * d.sum() - d[:, : len(rows)].sum() - np.diagonal(d).sum()
+            alike = (within[pairs > 0] / pairs[pairs > 0]).mean()
+            between = (weighted - (within / sizes**2).sum()) / (k * (k - 1)) if k > 1 else float("nan")
+            out.append(float(between / alike) if alike > 0 else float("nan"))
+        return out
+
+    observed = effects(points, codes, [codes])[0] if len(codes) else float("nan")
+    old, states, at_once = np.random.RandomState(seed), [], max(1, -(-n // max(1, spark.sparkContext.defaultParallelism)))
+    at_once = max(1, min(at_once, 8_000_000 // max(1, len(codes))))
+    for i in range(n):
+        if i % at_once == 0:
+            states.append((min(at_once, n - i), old.get_state()))
+        old.permutation(codes)
+
+    def shuffled(chunk) -> list[tuple[float]]:
+        points, codes = broadcast_value(held)
+        again = np.random.RandomState()
+        again.set_state(chunk[1])
+        orders = [again.permutation(codes) for _ in range(chunk[0])]
+        return [(e,) for e in effects(points, codes, orders)] if len(codes) else [(float("nan"),)] * chunk[0]
+
+    drawn = spark.createDataFrame(spark.sparkContext.parallelize(states, max(1, len(states))).flatMap(shuffled), "effect double")
     return drawn.agg(
         F.lit(observed).alias("observed"), F.avg((F.col("effect") >= observed).cast("double")).alias("p"), F.count(F.lit(1)).alias("n"), F.avg("effect").alias("null_mean"), F.stddev_samp("effect").alias("null_sd"),
     )
