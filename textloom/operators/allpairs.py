@@ -99,10 +99,11 @@ def n_parts(spark: SparkSession, n: int) -> int:
     return max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-n * (n - 1) // 2 // TASK))))
 
 
-def over_spans(spark: SparkSession, points: Points, work: Callable[[Points, int, int], Any]) -> list:
-    """What work(points, first, last) gives for ranges of rows that are all rows together, one task each."""
-    shared, parts = broadcast_object(spark, points), n_parts(spark, len(points))
-    return spark.sparkContext.parallelize(spans(len(points), parts), parts).map(lambda s: work(broadcast_value(shared), *s)).collect()
+def over_spans(spark: SparkSession, points: Points, work: Callable[[Points, int, int], Any], ranges: list[tuple[int, int]] | None = None) -> list:
+    """What work(points, first, last) gives for ranges of rows that are all rows together, one task each; by default ranges
+    with about as many pairs each."""
+    shared, ranges = broadcast_object(spark, points), ranges or spans(len(points), n_parts(spark, len(points)))
+    return spark.sparkContext.parallelize(ranges, len(ranges)).map(lambda s: work(broadcast_value(shared), *s)).collect()
 
 
 def pairs(vectors: DataFrame, metric: str = "euclidean", key: str = "participant") -> DataFrame:

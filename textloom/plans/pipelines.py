@@ -259,7 +259,7 @@ def entity_consolidate(counts: DataFrame, given: str | float = "moderate", metho
 def entity_compare(scores: DataFrame, dimensions: Sequence[str], groups: DataFrame | None = None, metric: str = "euclidean", permutations: int = 1000) -> dict[str, DataFrame]:
     v = materialise(C.centroids(scores, dimensions))
     d = materialise(C.distances(v, metric))
-    out = {"centroids": v, "distances": d, "summary": C.summarise(d)}
+    out = {"centroids": v, "distances": d, "summary": C.distance_summary(v, metric)}
     if groups is not None:
         stats = materialise(C.group_distances(v, groups, metric))
         out |= {"groups": stats, "effect": C.effect_size(stats), "group_centroids": C.group_centroids(v, groups, len(dimensions)), "excluded": C.excluded(v, groups), "test": C.permutation_test(v, groups, metric, permutations)}
@@ -272,7 +272,7 @@ def entity_agreement(scores: DataFrame, mode: str = "run", n_bootstrap: int = 10
 
 def entity_cluster(scores: DataFrame, dimensions: Sequence[str], method: str = "hierarchical", k: int | None = None) -> dict[str, DataFrame]:
     v = materialise(C.centroids(scores, dimensions))
-    labels = K.kmeans(v, k) if method == "kmeans" else K.hdbscan(C.distances(v)) if method == "hdbscan" else K.hierarchical(C.distances(v), k)
+    labels = K.kmeans(v, k) if method == "kmeans" else K.hdbscan(C.distances(v)) if method == "hdbscan" else K.hierarchical_vectors(v, k)
     projected, loadings = K.pca(v)
     return {"labels": labels, "projection": projected, "loadings": loadings}
 

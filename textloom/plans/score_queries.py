@@ -274,7 +274,7 @@ def quality_indices(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def participant_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return K.hierarchical(C.distances(materialise(_centroids(spark, folder))), most_k=6).select("participant", "label")
+    return K.hierarchical_vectors(_centroids(spark, folder), most_k=6).select("participant", "label")
 
 
 def participant_kmeans(spark: SparkSession, folder: str) -> DataFrame:
@@ -286,7 +286,7 @@ def principal_components(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def similarity_map(spark: SparkSession, folder: str) -> DataFrame:
-    return K.classical_mds(C.distances(materialise(_centroids(spark, folder))))
+    return K.vector_map(materialise(_centroids(spark, folder)))
 
 
 def beta_observations(spark: SparkSession, folder: str) -> DataFrame:
