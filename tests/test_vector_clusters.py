@@ -38,3 +38,12 @@ def test_ward_from_vectors(spark):
 def test_participant_clusters_of_many(spark):
     rows = clustering.hierarchical_vectors(many(spark), most_k=6).collect()
     assert len(rows) == 5_001 and whole_parts(rows) and rows[0].silhouette > 0.9
+
+
+def test_similarity_map_of_many(spark):
+    for n in (0, 1, 2, 60):
+        vectors = drawn(spark, max(n, 8))[0].where(F.col("participant") < n)
+        got = {r.participant: (r.x, r.y) for r in clustering.vector_map(vectors).collect()}
+        want = {r.participant: (pytest.approx(r.x, abs=1e-6), pytest.approx(r.y, abs=1e-6)) for r in clustering.classical_mds(comparison.distances(vectors)).collect()}
+        assert got == want or n == 1 and got == {"0": (0, 0)}
+    assert clustering.vector_map(many(spark)).count() == 5_001
