@@ -47,3 +47,12 @@ def test_similarity_map_of_many(spark):
         want = {r.participant: (pytest.approx(r.x, abs=1e-6), pytest.approx(r.y, abs=1e-6)) for r in clustering.classical_mds(comparison.distances(vectors)).collect()}
         assert got == want or n == 1 and got == {"0": (0, 0)}
     assert clustering.vector_map(many(spark)).count() == 5_001
+
+
+def test_participant_kmeans_of_many(spark):
+    rows = clustering.kmeans(many(spark), 3).collect()
+    assert len(rows) == 5_001 and whole_parts(rows)
+    x = np.array([r.v for r in many(spark, 90).orderBy("participant").collect()])
+    labels = [np.arange(90) % 3, np.arange(90) // 45, np.minimum(np.arange(90), 1), np.zeros(90, int), np.arange(90)]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert clustering.silhouettes(spark, x, labels) == pytest.approx([*[clustering.silhouette(d, lab) for lab in labels[:3]], -1, -1])
